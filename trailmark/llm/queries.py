@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import boxes, leakage, repetition
+from trailmark.llm import boxes, leakage, mixing, neardup, overlaps, repetition, sampling, splits
 from trailmark.session import read_table
 
 
@@ -24,6 +24,76 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return boxes.percentiles(read_table(spark, folder, "boxes"), probabilities=[0.5]).select("measure", "source_name", "split_name", "n")
 
 
+def _sample(spark: SparkSession, folder: str) -> sampling.Sample:
+    return sampling.stratified_sample(read_table(spark, folder, "frame_manifest"), read_table(spark, folder, "sampling_targets"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Planned bins that no image can fill, from the sample's report."""
+    return _sample(spark, folder).bins.where(F.col("state") == "empty").select("video", "temporal_bin")
+
+
+def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return _sample(spark, folder).sample
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of each category."""
+    return _sample(spark, folder).groups
+
+
+def p3_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """Planned bins that are empty or weren't drawn."""
+    return _sample(spark, folder).bins.where(F.col("state") != "covered")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.tied_videos(read_table(spark, folder, "frame_manifest"))
+
+
+def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.group_splits(read_table(spark, folder, "frame_manifest"))
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.split_report(read_table(spark, folder, "frame_manifest"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = p5_overlaps(spark, folder)
+    return pairs.select(F.least("train_id", "evaluation_id").alias("image_a"), F.greatest("train_id", "evaluation_id").alias("image_b"))
+
+
+def p5_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return overlaps.overlapping_images(read_table(spark, folder, "frame_manifest"), read_table(spark, folder, "holdout_manifest"))
+
+
+def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return overlaps.overlap_counts(read_table(spark, folder, "frame_manifest"), read_table(spark, folder, "holdout_manifest"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_images(read_table(spark, folder, "frame_manifest"))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.image_groups(read_table(spark, folder, "frame_manifest"))
+
+
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    return mixing.mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mixing_targets"))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the mixture with their copies."""
+    return _mixture(spark, folder).copies
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached and missed per source."""
+    return _mixture(spark, folder).report
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents holding windows of passages, also with small edits."""
     return leakage.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_passages"))
@@ -57,7 +127,31 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_percentiles, p2_batch_check, p2_counts, p7_leaks, p7_found, p9_repetition, p9_flagged, p9_found)}
+    own = (
+        p2_percentiles, p2_batch_check, p2_counts, p3_found, p3_sample, p3_groups, p3_bins, p4_found, p4_splits, p4_report, p5_found, p5_overlaps,
+        p5_counts, p6_found, p6_groups, p7_found, p7_leaks, p8_mixture, p8_report, p9_found, p9_repetition, p9_flagged,
+    )
+    return {f.__name__: f for f in own}
+
+
+_BLANKS = "' ' || chr(9) || chr(13)"
+
+
+def _name(column: str) -> str:
+    return f"nullif(lower(trim({column}, {_BLANKS})), '')"
+
+
+def _video(column: str) -> str:
+    return _name(f"regexp_extract({column}, '[^/]*$')")
+
+
+def _hash(column: str) -> str:
+    digits = f"regexp_extract(lower(trim({column}, {_BLANKS})), '^(?:0x)?([0-9a-f]{{1,16}})$', 1)"
+    return f"nullif(CASE WHEN {digits} <> '' THEN CAST('0x' || {digits} AS UBIGINT) END, 0)"
+
+
+def _sha(column: str) -> str:
+    return f"nullif(regexp_replace(lower(trim({column}, {_BLANKS})), '^sha256:', ''), '')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,6 +161,23 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_counts": f"""WITH b AS ({distinct_boxes}), v AS (SELECT * FROM b WHERE width IS NOT NULL AND height IS NOT NULL AND NOT isnan(width) AND NOT isnan(height))
             SELECT m.measure, source_name, split_name, count(*) AS n FROM v, (VALUES ('width'), ('area')) m(measure) GROUP BY ALL""",
+        "p3_found": f"""WITH r AS (SELECT {_video('video_filename')} AS video, temporal_bin, target_bins_for_video AS t FROM frame_manifest),
+            plan AS (SELECT video, max(t) AS n FROM r WHERE video IS NOT NULL GROUP BY video),
+            cells AS (SELECT video, unnest(range(0, n)) AS temporal_bin FROM plan)
+            SELECT * FROM cells EXCEPT SELECT video, temporal_bin FROM r""",
+        "p4_found": f"""WITH RECURSIVE r AS (SELECT DISTINCT {_video('video_filename')} AS v, CASE WHEN {_name('session_group')} <> 'unknown' THEN {_name('session_group')} END AS s FROM frame_manifest),
+            tie AS (SELECT DISTINCT a.v AS x, b.v AS y FROM r a JOIN r b ON a.s = b.s WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
+            reach(x, y) AS (SELECT x, y FROM tie UNION SELECT reach.x, tie.y FROM reach JOIN tie ON reach.y = tie.x),
+            least_one AS (SELECT y, min(x) AS x FROM reach GROUP BY y)
+            SELECT x AS video_a, y AS video_b FROM least_one WHERE x <> y""",
+        "p5_found": f"""WITH i AS (SELECT image_id, CASE WHEN {_name('split_name')} = 'train' THEN 't' WHEN {_name('split_name')} IN ('valid', 'val', 'test') THEN 'e' END AS side,
+              {_sha('image_sha256')} AS sha, {_hash('phash')} AS h FROM frame_manifest
+              UNION ALL SELECT image_id, 'e', {_sha('imagesha256')}, {_hash('phash')} FROM holdout_manifest)
+            SELECT DISTINCT least(a.image_id, b.image_id) AS image_a, greatest(a.image_id, b.image_id) AS image_b FROM (SELECT DISTINCT * FROM i WHERE side = 't') a
+            JOIN (SELECT DISTINCT * FROM i WHERE side = 'e') b ON a.image_id <> b.image_id AND (a.sha = b.sha OR bit_count(xor(a.h, b.h)) <= 2)""",
+        "p6_found": f"""WITH i AS (SELECT DISTINCT image_id, {_hash('phash')} AS p, {_hash('dhash64')} AS d FROM frame_manifest)
+            SELECT DISTINCT a.image_id AS image_a, b.image_id AS image_b FROM i a JOIN i b ON a.image_id < b.image_id
+            AND bit_count(xor(a.p, b.p)) <= 3 AND bit_count(xor(a.d, b.d)) <= 5""",
         "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT item_id, {_WORDS} AS w FROM eval_passages),
             dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS k FROM d),
             pw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS k FROM p)
