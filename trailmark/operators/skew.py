@@ -6,14 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Column, salts: int = 16, how: str = "left") -> DataFrame:
-    """Join ``rows`` to ``lookup`` (one row per key), spreading each key over ``salts`` tasks.
+#: Rows of a key beyond which it is spread, and over how many tasks.
+HOT_ROWS = 500_000
+SALTS = 64
 
-    ``spread`` is hashed to choose the salt, so it must be deterministic per row. The lookup side is
-    repeated ``salts`` times; it holds one row per key and is the small side by construction.
+
+def salted_lookup(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Column, how: str = "left", hot: DataFrame | None = None, hot_rows: int = HOT_ROWS, salts: int = SALTS
+) -> DataFrame:
+    """Join ``rows`` to ``lookup`` (one row per key); the rows of a hot key are spread over ``salts`` tasks.
+
+    ``hot`` names the hot keys if the caller has counted them; else they are counted here, with partial
+    aggregation. There are fewer than rows / ``hot_rows`` of them, which bounds their broadcast, and only
+    their lookup rows are repeated. Rows with a null key match nothing and are spread too. ``spread`` is
+    hashed to choose the salt and must be deterministic per row.
     """
-    big = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    small = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if hot is None:
+        hot = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows)
+    hot = F.broadcast(hot.select(*keys).withColumn("__hot", F.lit(True)))
+    some_null = F.lit(False)
+    for k in keys:
+        some_null = some_null | F.col(k).isNull()
+    salt = F.when(F.col("__hot") | some_null, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    big = rows.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    small = lookup.join(hot, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
     return big.join(small, [*keys, "__salt"], how).drop("__salt")
 
 
@@ -21,10 +38,9 @@ def member_chunks(members: DataFrame, key: str, member: str, size: int = 512) ->
     """Members of each key in arrays of about ``size``: (key, chunk, ids). No array grows with its group."""
     counts = members.groupBy(key).agg(F.count("*").alias("__n"))
     chunk = F.pmod(F.xxhash64(member), F.ceil(F.col("__n") / F.lit(size)).cast("bigint"))
-    hot = counts.where(F.col("__n") > size)
-    tagged = salted_lookup(members, hot, [key], F.col(member)).withColumn(
-        "chunk", F.coalesce(chunk, F.lit(0).cast("bigint"))
-    )
+    several = counts.where(F.col("__n") > size)
+    tagged = salted_lookup(members, several, [key], F.col(member), hot=counts.where(F.col("__n") > HOT_ROWS))
+    tagged = tagged.withColumn("chunk", F.coalesce(chunk, F.lit(0).cast("bigint")))
     return tagged.groupBy(key, "chunk").agg(F.collect_list(member).alias("ids"))
 
 
