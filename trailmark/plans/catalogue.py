@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from trailmark.functions.geometry import pixel_corners
 from trailmark.functions.hashing import hash64, name_key, sha_key, video_key
 from trailmark.operators import evaluation, identity, labels, matching, motion, statistics, temporal, tracking
 from trailmark.plans import adapters
-from trailmark.session import read_table
+from trailmark.session import read_table, shared_folder
+from trailmark.streaming.motion import activity_windows, running_summary
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -632,6 +635,44 @@ def split_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return identity.split_overlap(rows, "split", "video")
 
 
+# Streams --------------------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, source: DataFrame, build, mode: str, name: str) -> DataFrame:
+    """Run a streaming plan over a table written to the shared folder until all of it is read; its last state per key."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    source.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    out = f"{path}/out"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
+
+    running = build(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(out)
+
+
+@query(SQL["motion_summary"])
+def stream_motion(spark: SparkSession, folder: str) -> DataFrame:
+    """The motion summary by a stateful stream; the last update of each stream."""
+    rows = _streamed(spark, adapters.frames(spark, folder).repartition(6, "frame_index"), lambda s: running_summary(s, 25), "update", "motion")
+    last = rows.groupBy("stream").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("stream", "batch")]), "batch").alias("l")).select("stream", "l.*")
+    return _rounded(last, ["average_score", "max_score", "average_regions", "peak_seconds"]).withColumn("max_regions", F.col("max_regions").cast("int"))
+
+
+@query(
+    f"""WITH e AS (SELECT user_id % 8 AS stream, date_trunc('day', ts) AS day, least(1.0, greatest(0.0, value / 500)) AS score FROM events)
+    SELECT CAST(day AS DATE) AS day, stream, count(*) AS frames, round(avg(score), 6) AS average_score, round(max(score), 6) AS max_score FROM e GROUP BY ALL"""
+)
+def stream_activity_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily activity by event-time windows; the last update of each window."""
+    events = read_table(spark, folder, "events").select("ts", (F.col("user_id") % 8).alias("stream"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 500)).alias("score"))
+    rows = _streamed(spark, events.repartition(4, "stream"), lambda s: activity_windows(s, late="3650 days"), "update", "windows")
+    last = rows.groupBy(F.to_date("start").alias("day"), "stream").agg(F.max_by(F.struct("frames", "average_score", "max_score"), "batch").alias("l")).select("day", "stream", "l.*")
+    return _rounded(last, ["average_score", "max_score"])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
