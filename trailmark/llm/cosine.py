@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators.skew import salted_lookup
+from trailmark.operators.skew import HOT_ROWS, salted_lookup
 from trailmark.session import materialize
 
 #: A list where more pairs than this would meet is cut by its members' ``parts``.
@@ -40,7 +40,7 @@ def _prefix(terms: Column, threshold: float) -> Column:
 
 def _indexed(postings: DataFrame, both: DataFrame, other: str, threshold: float) -> DataFrame:
     """(key, vector, term, parts, hot): prefix postings of the vectors that can reach the threshold at all."""
-    live = salted_lookup(postings, both, ["term"], F.col("key"), how="inner")
+    live = salted_lookup(postings, both, ["term"], F.col("key"), how="inner", hot=both.where(F.col("n_left") + F.col("n_right") > HOT_ROWS))
     entry = F.struct((F.col("n_left") + F.col("n_right")).alias("n"), "term", "weight", F.col(other).alias("other"), "parts", "hot")
     vectors = live.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("terms"))
     vector = F.transform("terms", lambda t: F.struct(t.term.alias("term"), t.weight.alias("weight")))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.hashing import hamming, hash64
 from trailmark.llm.components import components
 from trailmark.llm.words import mix
-from trailmark.operators.skew import expand_pairs, member_chunks, salted_lookup
+from trailmark.operators.skew import HOT_ROWS, expand_pairs, member_chunks, salted_lookup
 from trailmark.session import materialize
 
 PHASH_BITS, DHASH_BITS = 3, 5
@@ -126,7 +126,7 @@ def near_prints(prints: DataFrame) -> DataFrame:
     schema = "key bigint, probe boolean, phash bigint, dhash bigint"
     postings = materialize(distinct.mapInPandas(keys, schema), "postings")
     hot = postings.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") > HOT)
-    marked = salted_lookup(postings, hot, ["key"], F.col("phash"))
+    marked = salted_lookup(postings, hot, ["key"], F.col("phash"), hot=hot.where(F.col("__n") > HOT_ROWS))
     cut = marked.where(F.col("__n").isNotNull()).drop("__n").mapInPandas(longer, schema)
     lists = marked.where(F.col("__n").isNull()).drop("__n").unionByName(cut)
     a, b = (lists.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("probe", "phash", "dhash")]) for s in "ab")
