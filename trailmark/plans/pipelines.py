@@ -7,6 +7,7 @@ paths or URIs of a file system that all executors share.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,25 +33,22 @@ class Report:
         return not self.errors
 
 
-def _split_tables(spark: SparkSession, split: str, images: str, label_folder: str) -> tuple[DataFrame, DataFrame]:
-    """(images with sizes, label lines) of one split; a label file without lines counts as a file."""
+def _split_tables(spark: SparkSession, split: str, images: str, label_folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images with sizes, label files, label lines) of one split; an empty label file is a file."""
     listed = files.list_images(spark, images)
     sizes = files.image_sizes(spark, images) if Path(images).exists() else listed.select("stem", F.lit(None).cast("int").alias("image_w"), F.lit(None).cast("int").alias("image_h"))
-    rows = listed.join(sizes, "stem", "left").withColumn("split", F.lit(split))
+    rows = listed.join(sizes, "stem", "left")
+    label_files = files.list_files(spark, label_folder, ("txt",)).select("stem")
     empty = "file string, stem string, line_no int, line string"
-    lines = files.read_line_files(spark, label_folder) if any(Path(label_folder).glob("*.txt")) else spark.createDataFrame([], empty)
-    return rows, lines.withColumn("split", F.lit(split))
+    lines = files.read_line_files(spark, label_folder) if Path(label_folder).exists() else spark.createDataFrame([], empty)
+    return tuple(df.withColumn("split", F.lit(split)) for df in (rows, label_files, lines))
 
 
 def read_dataset(spark: SparkSession, folders: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, label_files, parsed lines) of all splits, polygons included."""
-    pairs = [_split_tables(spark, split, images, lab) for split, (images, lab) in folders.items()]
-    images, lines = pairs[0]
-    for more_images, more_lines in pairs[1:]:
-        images, lines = images.unionByName(more_images), lines.unionByName(more_lines)
-    label_files = lines.select("split", "stem").distinct()
-    sized = lines.join(images.select("split", "stem", "image_w", "image_h"), ["split", "stem"], "left")
-    return images, label_files, sized
+    """(images, label files, label lines with image sizes) of all splits."""
+    parts = zip(*[_split_tables(spark, split, images, own) for split, (images, own) in folders.items()])
+    images, label_files, lines = (reduce(DataFrame.unionByName, same) for same in parts)
+    return images, label_files, lines.join(images.select("split", "stem", "image_w", "image_h"), ["split", "stem"], "left")
 
 
 def dataset_errors(images: DataFrame, label_files: DataFrame, parsed: DataFrame, every_line: bool) -> DataFrame:

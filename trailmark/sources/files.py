@@ -28,13 +28,21 @@ def read_line_files(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
     return lines.where(~last_empty).select("file", _stem(F.col("file")).alias("stem"), (F.col("i") + 1).alias("line_no"), "line")
 
 
+def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(file, name, stem, length) of files directly in a folder by suffix, case aside; an absent folder gives none.
+
+    The listing is the file system's own, as Spark's file readers skip empty files.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for f in system.listStatus(path) if f.isFile()] if system.exists(path) else []
+    rows = [(str(f.getPath()), f.getPath().getName(), f.getLen()) for f in found]
+    files = spark.createDataFrame(rows, "file string, name string, length bigint")
+    return files.where(F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).isin(*suffixes)).select("file", "name", _stem(F.col("name")).alias("stem"), "length")
+
+
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, name, stem, length) of images directly in a folder; an absent folder gives none. Contents aren't read."""
-    if not Path(folder.removeprefix("file://")).exists():
-        return spark.createDataFrame([], "file string, name string, stem string, length bigint")
-    files = spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file"), "length")
-    suffix = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
-    return files.where(suffix.isin(*IMAGE_SUFFIXES)).select("file", F.regexp_extract("file", r"([^/]*)$", 1).alias("name"), _stem(F.col("file")).alias("stem"), "length")
+    return list_files(spark, folder, IMAGE_SUFFIXES)
 
 
 def header_size(data: bytes) -> tuple[int, int] | None:
