@@ -111,3 +111,25 @@ def test_detections_and_manifest(spark, tmp_path):
     (tmp_path / "m.csv").write_text('name,tags,ok,box\na,x;y,True,"{""w"": 2}"\n')
     row = files.read_manifest(spark, str(tmp_path / "m.csv"), lists=("tags",), flags=("ok",), nested={"box": "struct<w: int>"}).first()
     assert row.tags == ["x", "y"] and row.ok is True and row.box.w == 2
+
+
+def test_discovery_outputs_and_hashes(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / name / "images").mkdir(parents=True)
+    assert [p.name for p in files.discover_test_sets(tmp_path)] == ["a", "b"]
+    (tmp_path / "images").mkdir()
+    assert files.discover_test_sets(tmp_path) == [tmp_path]
+    with pytest.raises(ValueError):
+        files.discover_test_sets(tmp_path / "images")
+    out = tmp_path / "out"
+    files.claim_output(out, ("*.jpg",), False)
+    (out / "x.jpg").write_bytes(b"1")
+    (out / "keep.txt").write_bytes(b"2")
+    with pytest.raises(FileExistsError):
+        files.claim_output(out, ("*.jpg",), False)
+    files.claim_output(out, ("*.jpg",), True)
+    assert [p.name for p in out.iterdir()] == ["keep.txt"]
+    hashes = files.file_hashes(spark, str(out))
+    sha = provenance.file_sha256(out / "keep.txt")
+    manifest = spark.createDataFrame([("keep.txt", sha.upper()), ("gone.txt", "00")], "name string, sha256 string")
+    assert {r.name: r.matches for r in files.verify_manifest(manifest, hashes).collect()} == {"keep.txt": True, "gone.txt": False}

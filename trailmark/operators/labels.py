@@ -16,26 +16,42 @@ BOUNDS_TOLERANCE = 1e-9
 PIXEL_TOLERANCE = 0.5
 AREA_TOLERANCE = 1e-12
 FIELDS = ("x_center", "y_center", "width", "height")
+#: What the errors say.
+COUNT = "must contain 5 values; found %d."
+NOT_INTEGER = "class id must be an integer."
+NOT_ZERO = "class id must be 0 for 'ant'."
+NOT_NUMERIC = "contains non-numeric coordinate values."
+FINITE = "must be finite."
+NORMALIZED = "must be normalized between 0 and 1."
+NO_SIZE = "width and height must be greater than 0."
+ONE_DIMENSION = "image_width and image_height must be provided together."
+BAD_DIMENSION = "image dimensions must be greater than 0."
+OUTSIDE = "bounding box extends outside normalized image bounds."
+OUTSIDE_PIXELS = "bounding box exceeds image bounds by more than {:g} pixels."
+ODD = "segmentation coordinate count must be even."
+FEW_POINTS = "segmentation polygon must contain at least 3 points."
+DEGENERATE = "segmentation polygon is degenerate."
+POINT = "segmentation point %d {} {}"
 
 
 def box_error(class_id: Column, box: dict[str, Column], image_w: Column, image_h: Column, tolerance: float = PIXEL_TOLERANCE) -> Column:
     """First broken rule of a centre box; with image dimensions the edges are judged in pixels."""
     no_dims = image_w.isNull() & image_h.isNull()
-    rules: list = [(class_id != 0, "class id must be 0 for 'ant'.")]
+    rules: list = [(class_id != 0, NOT_ZERO)]
     for name in FIELDS:
         v = box[name]
-        rules.append((~is_finite(v), f"{name} must be finite."))
-        rules.append((no_dims & ((v < -BOUNDS_TOLERANCE) | (v > 1.0 + BOUNDS_TOLERANCE)), f"{name} must be normalized between 0 and 1."))
+        rules.append((~is_finite(v), f"{name} {FINITE}"))
+        rules.append((no_dims & ((v < -BOUNDS_TOLERANCE) | (v > 1.0 + BOUNDS_TOLERANCE)), f"{name} {NORMALIZED}"))
     left, right = box["x_center"] - box["width"] / 2, box["x_center"] + box["width"] / 2
     top, bottom = box["y_center"] - box["height"] / 2, box["y_center"] + box["height"] / 2
     over = F.greatest(-left * image_w, (right - 1.0) * image_w, -top * image_h, (bottom - 1.0) * image_h)
     outside = (F.least(left, top) < -BOUNDS_TOLERANCE) | (F.greatest(right, bottom) > 1.0 + BOUNDS_TOLERANCE)
     rules += [
-        ((box["width"] <= 0) | (box["height"] <= 0), "width and height must be greater than 0."),
-        (image_w.isNull() != image_h.isNull(), "image_width and image_height must be provided together."),
-        ((image_w <= 0) | (image_h <= 0), "image dimensions must be greater than 0."),
-        (over > tolerance + 1e-12, f"bounding box exceeds image bounds by more than {tolerance:g} pixels."),
-        (no_dims & outside, "bounding box extends outside normalized image bounds."),
+        ((box["width"] <= 0) | (box["height"] <= 0), NO_SIZE),
+        (image_w.isNull() != image_h.isNull(), ONE_DIMENSION),
+        ((image_w <= 0) | (image_h <= 0), BAD_DIMENSION),
+        (over > tolerance + 1e-12, OUTSIDE_PIXELS.format(tolerance)),
+        (no_dims & outside, OUTSIDE),
     ]
     return first_error(*rules)
 
@@ -66,12 +82,12 @@ def parse_labels(lines: DataFrame, polygons: bool = True, line: str = "line", im
     out = lambda v, r: (v < -r) | (v > 1.0 + r)
 
     def point_error(x: Column, i: Column) -> Column:
-        y, name = F.get("__y", i), lambda axis, text: F.format_string(f"segmentation point %d {axis} {text}", i + 1)
+        y, name = F.get("__y", i), lambda axis, text: F.format_string(POINT.format(axis, text), i + 1)
         return first_error(
-            (~is_finite(x), name("x", "must be finite.")),
-            (~is_finite(y), name("y", "must be finite.")),
-            (out(x, reach_x), name("x", "must be normalized between 0 and 1.")),
-            (out(y, reach_y), name("y", "must be normalized between 0 and 1.")),
+            (~is_finite(x), name("x", FINITE)),
+            (~is_finite(y), name("y", FINITE)),
+            (out(x, reach_x), name("x", NORMALIZED)),
+            (out(y, reach_y), name("y", NORMALIZED)),
         )
 
     good_polygon = ~is_box & (n % 2 == 1) & (n >= 7) & numeric
@@ -91,24 +107,24 @@ def parse_labels(lines: DataFrame, polygons: bool = True, line: str = "line", im
 
     detection = F.coalesce(
         first_error(
-            (n != 5, F.format_string("must contain 5 values; found %d.", n)),
-            (~F.col("__int"), "class id must be an integer."),
-            (~numeric, "contains non-numeric coordinate values."),
+            (n != 5, F.format_string(COUNT, n)),
+            (~F.col("__int"), NOT_INTEGER),
+            (~numeric, NOT_NUMERIC),
         ),
         box_error(class_id, {k: F.col(f"__b.{k}") for k in FIELDS}, w, h),
     )
     polygon = F.coalesce(
         first_error(
-            (~F.col("__int"), "class id must be an integer."),
-            (class_id != 0, "class id must be 0 for 'ant'."),
-            (n % 2 == 0, "segmentation coordinate count must be even."),
-            (n < 7, "segmentation polygon must contain at least 3 points."),
-            (~numeric, "contains non-numeric coordinate values."),
-            (w.isNull() != h.isNull(), "image_width and image_height must be provided together."),
-            ((w <= 0) | (h <= 0), "image dimensions must be greater than 0."),
+            (~F.col("__int"), NOT_INTEGER),
+            (class_id != 0, NOT_ZERO),
+            (n % 2 == 0, ODD),
+            (n < 7, FEW_POINTS),
+            (~numeric, NOT_NUMERIC),
+            (w.isNull() != h.isNull(), ONE_DIMENSION),
+            ((w <= 0) | (h <= 0), BAD_DIMENSION),
         ),
         F.col("__point"),
-        first_error((F.col("__area") <= AREA_TOLERANCE, "segmentation polygon is degenerate.")),
+        first_error((F.col("__area") <= AREA_TOLERANCE, DEGENERATE)),
         box_error(class_id, {k: F.col(f"__b.{k}") for k in FIELDS}, w, h),
     )
     kind = F.when(is_box | F.lit(not polygons), "detection").otherwise("segmentation")

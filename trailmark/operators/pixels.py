@@ -1,6 +1,6 @@
 """Motion detection on pixels, as a pluggable stage over ordered frames.
 
-The reference semantics use a mixture-of-Gaussians background model of a native vision library that isn't a
+The original analysis uses a mixture-of-Gaussians background model of a native vision library that isn't a
 dependency here. The stage takes any detector with ``detect(image) -> (mask, regions)``; the built-in one keeps a
 running mean per pixel. Results of different detectors differ; warm-up, scores, areas and coordinates don't.
 """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.numeric import half_even
 
+#: Fixed value: frame number and time in the names of extracted frames.
 _NAME = r"_frame_(\d+)_t(\d+)[-.](\d+)"
 
 

@@ -10,6 +10,10 @@ from trailmark.operators.labels import FIELDS, box_error
 
 GT_FIELDS = ("frame", "track_id", "x", "y", "width", "height", "flag")
 _WHOLE = ("frame", "track_id", "flag")
+#: What the errors say.
+COUNT = "must contain exactly 7 comma-separated values; found %d."
+NUMERIC, FINITE, INTEGER = "must be numeric.", "must be finite.", "must be an integer."
+FRAME, POSITIVE = "frame must be greater than or equal to 1.", "must be greater than 0."
 
 
 def parse_ground_truth(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -20,17 +24,17 @@ def parse_ground_truth(lines: DataFrame, line: str = "line") -> DataFrame:
     rows = fixed_columns(rows, {f"__{name}": float_value(F.get("__p", F.lit(i))) for i, name in enumerate(GT_FIELDS)})
     raw = {name: F.col(f"__{name}") for name in GT_FIELDS}
     value = {name: whole_double(raw[name]) if name in _WHOLE else raw[name] for name in GT_FIELDS}
-    rules: list = [(F.size("__p") != 7, F.format_string("must contain exactly 7 comma-separated values; found %d.", F.size("__p")))]
+    rules: list = [(F.size("__p") != 7, F.format_string(COUNT, F.size("__p")))]
     for name in GT_FIELDS:
         number = raw[name]
-        rules.append((number.isNull(), f"{name} must be numeric."))
-        rules.append((~is_finite(number), f"{name} must be finite."))
+        rules.append((number.isNull(), f"{name} {NUMERIC}"))
+        rules.append((~is_finite(number), f"{name} {FINITE}"))
         if name in _WHOLE:
-            rules.append((value[name].isNull(), f"{name} must be an integer."))
+            rules.append((value[name].isNull(), f"{name} {INTEGER}"))
     rules += [
-        (value["frame"] < 1, "frame must be greater than or equal to 1."),
-        (value["width"] <= 0, "width must be greater than 0."),
-        (value["height"] <= 0, "height must be greater than 0."),
+        (value["frame"] < 1, FRAME),
+        (value["width"] <= 0, f"width {POSITIVE}"),
+        (value["height"] <= 0, f"height {POSITIVE}"),
     ]
     rows = fixed_columns(rows, {"error": first_error(*rules)})
     keep = [c for c in lines.columns if c not in (*GT_FIELDS, "error")]

@@ -199,3 +199,30 @@ def label_texts(images: DataFrame, boxes: DataFrame, key: str, line: str, order:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, line))), lambda s: s[line])
     texts = boxes.groupBy(key).agg(F.array_join(ordered, "\n").alias("text"))
     return images.select(key).distinct().join(texts, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def discover_test_sets(root: Path) -> list[Path]:
+    """Folders of external test videos: the root itself if it has ``images``, else its subfolders that do."""
+    if (root / "images").is_dir():
+        return [root]
+    found = sorted(p for p in root.iterdir() if (p / "images").is_dir())
+    if not found:
+        raise ValueError(f"no images folder in {root} or below")
+    return found
+
+
+def claim_output(folder: Path, patterns: tuple[str, ...], overwrite: bool) -> None:
+    """Make an output folder free of earlier results (files by pattern); others are kept. Refuses unless ``overwrite``."""
+    folder.mkdir(parents=True, exist_ok=True)
+    owned = [p for pattern in patterns for p in folder.glob(pattern) if p.is_file()]
+    if owned and not overwrite:
+        raise FileExistsError(f"{folder} holds earlier results; allow overwriting to replace them")
+    for p in owned:
+        p.unlink()
+
+
+def verify_manifest(manifest: DataFrame, hashes: DataFrame, name: str = "name", sha: str = "sha256") -> DataFrame:
+    """(name, matches) of a manifest against hashes of the files at hand, case aside; a file that is missing doesn't match."""
+    here = hashes.select(F.col(name).alias("__n"), F.lower(sha).alias("__s")).distinct()
+    joined = manifest.select(name, sha).join(here, F.col(name) == F.col("__n"), "left")
+    return joined.groupBy(name).agg(F.coalesce(F.bool_and(F.lower(sha) == F.col("__s")), F.lit(False)).alias("matches"))
