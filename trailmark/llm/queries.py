@@ -175,6 +175,12 @@ def oracle_sql() -> dict[str, str]:
               UNION ALL SELECT image_id, 'e', {_sha('imagesha256')}, {_hash('phash')} FROM holdout_manifest)
             SELECT DISTINCT least(a.image_id, b.image_id) AS image_a, greatest(a.image_id, b.image_id) AS image_b FROM (SELECT DISTINCT * FROM i WHERE side = 't') a
             JOIN (SELECT DISTINCT * FROM i WHERE side = 'e') b ON a.image_id <> b.image_id AND (a.sha = b.sha OR bit_count(xor(a.h, b.h)) <= 2)""",
+        "p5_counts": f"""WITH i AS (SELECT DISTINCT * FROM (SELECT image_id, CASE WHEN {_name('split_name')} = 'train' THEN 't' WHEN {_name('split_name')} IN ('valid', 'val', 'test') THEN 'e' END AS side,
+              {_name('split_name')} AS split, source_name, {_sha('image_sha256')} AS sha, {_hash('phash')} AS h FROM frame_manifest
+              UNION ALL SELECT image_id, 'e', 'holdout', source_name, {_sha('imagesha256')}, {_hash('phash')} FROM holdout_manifest)),
+            t AS (SELECT * FROM i WHERE side = 't'), e AS (SELECT * FROM i WHERE side = 'e'),
+            same AS (SELECT DISTINCT e.image_id FROM e JOIN t ON e.sha = t.sha), near AS (SELECT DISTINCT e.image_id FROM e JOIN t ON bit_count(xor(e.h, t.h)) <= 2)
+            SELECT split, source_name, count(*) AS images, count(same.image_id) AS exact, count(near.image_id) AS near FROM e LEFT JOIN same USING (image_id) LEFT JOIN near USING (image_id) GROUP BY ALL""",
         "p6_found": f"""WITH i AS (SELECT DISTINCT image_id, {_hash('phash')} AS p, {_hash('dhash64')} AS d FROM frame_manifest)
             SELECT DISTINCT a.image_id AS image_a, b.image_id AS image_b FROM i a JOIN i b ON a.image_id < b.image_id
             AND bit_count(xor(a.p, b.p)) <= 3 AND bit_count(xor(a.d, b.d)) <= 5""",
