@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trailmark.llm import splits
@@ -50,11 +51,14 @@ def test_tied_videos(spark):
     assert got == {("a.mp4", "b.mp4"), ("a.mp4", "c.mp4")}
 
 
-def test_no_entity_is_spread_and_shares_are_close(spark):
+# In the second case single groups hold 70 % and 13 % of the rows; trying every placement of the five largest
+# groups shows that no assignment stays within 0.041 of the targets.
+@pytest.mark.parametrize("draw,tolerance", [(lambda: int(400 * random.random() ** 2), 0.03), (lambda: int(random.paretovariate(0.9)) % 400, 0.05)])
+def test_no_entity_is_spread_and_shares_are_close(spark, draw, tolerance):
     random.seed(2)
     rows = []
     for i in range(3000):
-        v = int(400 * random.random() ** 2)
+        v = draw()
         rows.append((i, random.choice("abc"), None if i % 50 == 0 else f"v{v}", None if i % 3 else f"s{v // 4}"))
     rows += [(1, *rows[1][1:]), (None, "a", None, None), (5001, None, None, "only")]
     df = manifest(spark, rows)
@@ -68,7 +72,7 @@ def test_no_entity_is_spread_and_shares_are_close(spark):
                 seen.setdefault(r[column], set()).add(by[r[0]])
         assert all(len(s) == 1 for s in seen.values())
     for r in splits.split_report(df).where("stratum in ('a', 'b', 'c')").collect():
-        assert abs(r.share - r.target) < 0.03, r
+        assert abs(r.share - r.target) < tolerance, r
 
 
 def test_assignment_beats_order(spark):
