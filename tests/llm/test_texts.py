@@ -105,6 +105,50 @@ def test_exact_run_is_measured(spark):
     assert (hit.doc_id, hit.item_id, hit.edits, hit.exact_run) == (1, 9, 0, 50)
 
 
+def edited(words, every, rng):
+    """Each ``every``-th word replaced, removed or preceded by a new one."""
+    out = []
+    for i, w in enumerate(words):
+        kind = rng.randrange(3) if i % every == every - 1 else None
+        out += {None: [w], 0: [f"new{rng.randrange(99)}"], 1: [], 2: ["more", w]}[kind]
+    return out
+
+
+def least_edits(item, text):
+    """Least edit distance of ``item`` to any stretch of ``text``."""
+    row = list(range(len(item) + 1))
+    least = row[-1]
+    for x in text:
+        new = [0]
+        for j, y in enumerate(item):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row, least = new, min(least, new[-1])
+    return least
+
+
+def test_whole_items_with_edits(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, [rng.choice(vocab) for _ in range(n)]) for i, n in enumerate([36, 39, 69, 120, 260, 12, 7, 3, 1] * 4)]
+    rows = []
+    for k in range(240):
+        own = [rng.choice(vocab) for _ in range(rng.randrange(80))]
+        i, words = items[k % len(items)]
+        own[len(own) // 2 : len(own) // 2] = edited(words, rng.choice([4, 5, 6, 8, 11]), rng)
+        rows.append((k, own))
+    want = {}
+    for d, own in rows:
+        for i, words in items:
+            n = least_edits(words, own)
+            if n <= len(words) // 5:
+                want[d, i] = n
+    passages = spark.createDataFrame([(i, " ".join(w), 1) for i, w in items], ITEM)
+    got = leakage.find_leaks(docs(spark, [(d, " ".join(w), "s") for d, w in rows]), passages).collect()
+    assert {(r.doc_id, r.item_id): r.item_edits for r in got if r.item_edits is not None} == want
+    assert sum(r.windows == 0 and r.edits is None for r in got) > 50 and sum(1 for d, i in want if len(items[i][1]) >= 36) > 60
+    assert all(r.windows > 0 or r.item_edits is not None for r in got)
+
+
 def share(text):
     w = plain(text or "")
     runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]

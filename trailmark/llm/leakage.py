@@ -8,6 +8,12 @@ so that keys of a few sampled positions agree often; several independent walks a
 target recall. Candidates are verified by their exact edit distance. Equal windows have equal embeddings
 and thus always meet: for them the recall is 1.
 
+Whole items are looked for besides, with an edit budget in proportion to their length, insertions and
+deletions included. An edit changes at most q runs of q words, so a passage within k edits of an item of n
+words shares n - q + 1 - k q runs with it, all within n + k words: where fewer stand, no match is possible.
+The other places are verified by their exact edit distance (Myers' bit vectors, one number of n bits), so
+that no match within the budget is lost, whatever its edits.
+
 The items are the stated query set. Their index goes to the executors in blocks of at most
 ``MAX_WINDOWS`` windows, each block with a pass over the corpus; the corpus is never shuffled.
 """
@@ -29,6 +35,8 @@ from trailmark.llm.words import Words, in_chunks, mix
 #: Item windows of a block: about 24 bytes each and key, so that a broadcast stays below 100 MB.
 MAX_WINDOWS = 1_000_000
 _FILTER_BITS = 22
+#: Items whose runs are compared at once: bounds the pairs held, even if a run stands in all of them.
+_ITEMS = 64
 
 
 @dataclass(frozen=True)
@@ -140,8 +148,103 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, m]
 
 
-def _search_chunk(chunk: list[tuple], index: ItemIndex) -> pd.DataFrame:
-    """Verified hits of one chunk: per document and item the windows, the fewest edits and the longest common run."""
+def run_keys(hashes: np.ndarray, starts: np.ndarray, run: int) -> np.ndarray:
+    """A key for the run of ``run`` words at each of ``starts``."""
+    key = np.full(len(starts), np.uint64(run))
+    for i in range(run):
+        key = (key ^ hashes[starts + i]) * np.uint64(0x9FB21C651E98DF25)
+        key ^= key >> np.uint64(31)
+    return mix(key)
+
+
+class WholeItems:
+    """Runs of each item, of 3 words where the edit budget of ``rate`` per word leaves one in common, else of fewer."""
+
+    def __init__(self, words: Words, rate: float):
+        if not 0 <= rate < 1:
+            raise ValueError("the edits per word must be at least 0 and below 1")
+        self.words, self.lengths = words, words.counts().astype(np.int64)
+        self.budgets = np.floor(self.lengths * rate).astype(np.int64)
+        self.needed = np.zeros(len(self.lengths), np.int64)
+        self.parts: list[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = []
+        for q in (3, 2, 1):
+            shared = self.lengths - q + 1 - self.budgets * q
+            own = np.flatnonzero((self.needed == 0) & (shared > 0))
+            self.needed[own] = shared[own]
+            starts, item = window_starts(words.offsets, q)
+            keys, blocks, table = run_keys(words.hashes, starts, q), [], np.zeros(1 << _FILTER_BITS, bool)
+            for k in range(0, len(own), _ITEMS):
+                inside = np.isin(item, own[k : k + _ITEMS])
+                pairs = np.unique(np.rec.fromarrays([keys[inside], item[inside]], names="key,item"))
+                blocks.append((pairs["key"].copy(), pairs["item"].astype(np.int64)))
+                table[pairs["key"] & np.uint64((1 << _FILTER_BITS) - 1)] = True
+            if blocks:
+                self.parts.append((q, table, blocks))
+
+    def places(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, end): all stretches of ``words`` that can hold a match, with all their matches."""
+        for q, table, blocks in self.parts:
+            starts, text = window_starts(words.offsets, q)
+            keys = run_keys(words.hashes, starts, q)
+            some = np.flatnonzero(table[keys & np.uint64((1 << _FILTER_BITS) - 1)])
+            keys, starts, text = keys[some], starts[some], text[some]
+            for own_keys, own_items in blocks:
+                low = np.searchsorted(own_keys, keys, "left")
+                n = np.searchsorted(own_keys, keys, "right") - low
+                item = own_items[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if n.sum() else np.empty(0, np.int64)
+                order = np.argsort(item, kind="stable")  # places ascend within an item
+                item, at, doc = item[order], np.repeat(starts, n)[order], np.repeat(text, n)[order]
+                last = np.arange(len(item)) + self.needed[item] - 1
+                first = np.flatnonzero(last < len(item))
+                last, reach = last[first], (self.lengths + self.budgets)[item[first]]
+                near = (item[last] == item[first]) & (doc[last] == doc[first]) & (at[last] + q - at[first] <= reach)
+                first, last, reach = first[near], last[near], reach[near]
+                if not len(first):
+                    continue
+                item, doc = item[first], doc[first]
+                begin = np.maximum(at[last] + q - reach, words.offsets[doc])
+                end = np.minimum(at[first] + reach, words.offsets[doc + 1])
+                new = np.append(True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1]))
+                opens = np.flatnonzero(new)
+                closes = np.append(opens[1:], len(new)) - 1
+                yield from zip(doc[opens].tolist(), item[opens].tolist(), begin[opens].tolist(), end[closes].tolist())
+
+    def least_edits(self, item: int, text: list[int]) -> int:
+        """Least edit distance of the item to any stretch of ``text`` (word hashes)."""
+        own = self.words.hashes[self.words.offsets[item] : self.words.offsets[item + 1]].tolist()
+        n, masks = len(own), {}
+        for i, word in enumerate(own):
+            masks[word] = masks.get(word, 0) | 1 << i
+        full, high = (1 << n) - 1, 1 << (n - 1)
+        plus, minus, edits, least = full, 0, n, n
+        for word in text:
+            same = masks.get(word, 0)
+            across = (((same & plus) + plus) ^ plus) | same
+            up, down = minus | (full & ~(across | plus)), plus & across
+            if up & high:
+                edits += 1
+            elif down & high:
+                edits -= 1
+                least = min(least, edits)
+            same |= minus
+            up, down = up << 1 & full, down << 1 & full
+            plus, minus = down | (full & ~(same | up)), up & same
+        return least
+
+    def search(self, words: Words) -> pd.DataFrame:
+        """(doc, item, item_edits): each item that stands in a text within its budget, with the fewest edits."""
+        found: dict[tuple[int, int], int] = {}
+        for doc, item, begin, end in self.places(words):
+            edits = self.least_edits(item, words.hashes[begin:end].tolist())
+            if edits <= self.budgets[item]:
+                found[doc, item] = min(edits, found.get((doc, item), edits))
+        rows = [(doc, item, edits) for (doc, item), edits in sorted(found.items())]
+        return pd.DataFrame(rows, columns=["doc", "item", "item_edits"]).astype("int64")
+
+
+def _search_chunk(chunk: list[tuple], index: ItemIndex, whole: WholeItems | None = None) -> pd.DataFrame:
+    """Verified hits of one chunk: per document and item the windows, the fewest edits, the longest common run and,
+    with ``whole``, the fewest edits of the whole item."""
     search, w = index.search, index.search.window
     words = Words([t for *_, t in chunk])
     starts, text = window_starts(words.offsets, w)
@@ -168,16 +271,23 @@ def _search_chunk(chunk: list[tuple], index: ItemIndex) -> pd.DataFrame:
             while i + n < stop_i and j + n < stop_j and words.word(i + n) == index.words.word(j + n):
                 n += 1
             run = max(run, n)
-        out.append((chunk[doc][0], index.ids[item], g["at"].nunique(), int(g.edits.min()), int(run)))
-    return pd.DataFrame(out, columns=["doc_id", "item_id", "windows", "edits", "exact_run"])
+        out.append((doc, item, g["at"].nunique(), int(g.edits.min()), int(run)))
+    hits = pd.DataFrame(out, columns=["doc", "item", "windows", "edits", "exact_run"]).astype("int64")
+    found = whole.search(words) if whole else pd.DataFrame(columns=["doc", "item", "item_edits"], dtype="int64")
+    hits = hits.merge(found, on=["doc", "item"], how="outer").astype("Int64").fillna({"windows": 0, "exact_run": 0})
+    hits.insert(0, "doc_id", pd.array([chunk[i][0] for i in hits.pop("doc")], "Int64"))
+    hits.insert(1, "item_id", pd.array([index.ids[i] for i in hits.pop("item")], "Int64"))
+    return hits
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, search: Search | None = None, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Documents with windows of items: (doc_id, item_id, windows, edits, exact_run), each pair once.
+def find_leaks(documents: DataFrame, items: DataFrame, search: Search | None = None, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_edits: float | None = 0.2) -> DataFrame:
+    """Documents with items or windows of items: (doc_id, item_id, windows, edits, exact_run, item_edits), each pair once.
 
     ``windows`` counts the document's windows within ``max_edits`` of an item window, ``edits`` is their
-    least distance and ``exact_run`` the longest run of equal words around an equal window (0 if none).
-    Null and empty texts, and items shorter than a window, give no row. Texts are read whole, however
+    least distance (null if there are none) and ``exact_run`` the longest run of equal words around an equal
+    window (0 if none). The column ``item_edits`` has the least edit distance of the whole item to a stretch of
+    the document, null beyond the parameter's edits per word of the item (null: whole items aren't looked for).
+    Null and empty texts give no row; items shorter than a window come out only whole. Texts are read whole, however
     long. Repeated document ids give a row for each of their rows. Null ids stay null. Other columns,
     whatever their names, are ignored; an empty table gives an empty result.
     """
@@ -195,16 +305,17 @@ def find_leaks(documents: DataFrame, items: DataFrame, search: Search | None = N
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = ItemIndex(shared.value, search)
+            whole = None if item_edits is None else WholeItems(index.words, item_edits)
             for batch in batches:
                 for chunk in in_chunks(zip(batch["doc_id"].astype("Int64"), batch["text"])):
-                    yield _search_chunk(chunk, index).astype({"doc_id": "Int64", "item_id": "Int64"})
+                    yield _search_chunk(chunk, index, whole)
 
-        return corpus.mapInPandas(run, "doc_id bigint, item_id bigint, windows bigint, edits int, exact_run int")
+        return corpus.mapInPandas(run, "doc_id bigint, item_id bigint, windows bigint, edits int, exact_run int, item_edits int")
 
     return reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, words: int = 12) -> DataFrame:
     """Pairs where at least ``words`` consecutive words of the item stand in the document: (doc_id, item_id)."""
-    hits = find_leaks(documents, items, Search(window=words))
+    hits = find_leaks(documents, items, Search(window=words), item_edits=None)
     return hits.where(F.col("exact_run") >= words).select("doc_id", "item_id")

@@ -95,7 +95,7 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents holding windows of passages, also with small edits."""
+    """Documents holding passages with up to a fifth of their words edited, or windows of them with small edits."""
     return leakage.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_passages"))
 
 
