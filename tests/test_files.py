@@ -74,6 +74,38 @@ def test_sequence(spark, tmp_path):
     assert texts[1] == "0 0.2 0.2 0.2 0.2" and texts[3] == "" and len(texts) == 3
 
 
+def test_all_errors_are_kept(spark, dataset, tmp_path):
+    bad = "".join("x\n" for _ in range(1200))
+    for split in pipelines.EXPORT_SPLITS:
+        (tmp_path / "export" / split / "images").mkdir(parents=True)
+        (tmp_path / "export" / split / "labels").mkdir(parents=True)
+        (tmp_path / "export" / split / "labels" / f"{split}.txt").write_text(bad if split == "test" else "x\n")
+    found = pipelines.inspect_export(spark, str(tmp_path / "export"))
+    every = [(s, s, i) for s in pipelines.EXPORT_SPLITS for i in range(1201 if s == "test" else 2)]
+    assert sorted((r.split, r.stem, r.line_no or 0) for r in found.tables["errors"].collect()) == sorted(every)
+    assert len(found.errors) == 1001 and not any(e.startswith("valid/") for e in found.errors)
+    with pytest.raises(pipelines.ReportError) as fatal:
+        pipelines.prepare_export(spark, str(tmp_path / "export"), 0.67, 1)
+    assert fatal.value.report.tables["errors"].where("split = 'valid'").count() == 2
+
+    for i in range(1100):
+        (dataset / f"labels/train/orphan_{i:04d}.txt").write_text("")
+    (dataset / "labels/val/val_001.txt").write_text("x\ny\n")
+    errors = pipelines.validate_dataset(spark, str(dataset / "dataset.yaml")).tables["errors"]
+    assert errors.where("split = 'train'").count() == 1100 and [(r.stem, r.line_no) for r in errors.where("split = 'val'").collect()] == [("val_001", 1)]
+
+
+def test_sequence_errors_are_listed(spark, tmp_path):
+    (tmp_path / "gt.txt").write_text("1,7,100,50,200,100,1\nbad\n2,7,1,1,2,2,1\n2,7,1,1,2,2,1\n9,1,1,1,2,2,1\n2,3,990,50,200,100,1\n")
+    info = files.read_sequence_info("[Sequence]\nname=S\nframeRate=30\nseqLength=3\nimWidth=1000\nimHeight=500\n")
+    got = pipelines.convert_sequence(spark, str(tmp_path), info, spark.range(2, 5).select(F.col("id").alias("frame")))
+    rows = sorted((r.check, r.line_no or 0, r.frame or 0, r.track_id or 0) for r in got.tables["errors"].collect())
+    assert rows == [
+        ("bad lines", 2, 0, 0), ("boxes outside the image", 6, 2, 3), ("extra images", 0, 4, 0), ("missing images", 0, 1, 0),
+        ("repeated track ids", 0, 2, 7), ("rows without an image", 0, 1, 0), ("rows without an image", 0, 9, 0),
+    ]
+
+
 def test_yaml_paths_and_classes(tmp_path):
     assert files.parse_dataset_yaml("path: 'a'\ntrain: images/t\nnames:\n  0: ant\n")["names"] == {0: "ant"}
     with pytest.raises(ValueError):

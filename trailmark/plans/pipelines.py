@@ -22,7 +22,10 @@ EXPORT_SPLITS = ("train", "valid", "test")
 
 @dataclass(frozen=True)
 class Report:
-    """Counts and errors of a pipeline; ``tables`` holds its results as DataFrames."""
+    """Counts and errors of a pipeline; ``tables`` holds its results as DataFrames.
+
+    ``errors`` is for printing and may be cut; the table ``errors`` has a row for each.
+    """
 
     counts: dict
     errors: list[str] = field(default_factory=list)
@@ -33,6 +36,14 @@ class Report:
         return not self.errors
 
 
+class ReportError(ValueError):
+    """Raised where errors are fatal; ``report`` has all of them."""
+
+    def __init__(self, report: Report):
+        super().__init__("\n".join(report.errors))
+        self.report = report
+
+
 def _split_tables(spark: SparkSession, split: str, images: str, label_folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images with sizes, label files, label lines) of one split; an empty label file is a file."""
     listed = files.list_images(spark, images)
@@ -86,16 +97,17 @@ def validate_dataset(spark: SparkSession, yaml_path: str) -> Report:
     parsed = labels.parse_labels(lines, polygons=False, image_w="image_w", image_h="image_h").cache()
     clean = parsed.join(labels.all_errors(parsed).select("split", "stem").distinct(), ["split", "stem"], "left_anti")
     counts = {r.split: r.asDict() for r in statistics.split_statistics(images.withColumn("key", F.concat_ws("/", "split", "stem")), clean.withColumn("key", F.concat_ws("/", "split", "stem")), "split", "key").collect()}
-    errors = _messages(dataset_errors(images, label_files, parsed, every_line=False))
+    found = dataset_errors(images, label_files, parsed, every_line=False)
+    errors = _messages(found)
     errors += [f"split {s} has no images" for s in paths if s not in counts]
-    return Report(counts, errors, {"images": images, "boxes": clean})
+    return Report(counts, errors, {"images": images, "boxes": clean, "errors": found})
 
 
 def dataset_statistics(spark: SparkSession, yaml_path: str) -> Report:
     """Counts per split and size percentiles over all splits; any error is fatal."""
     report = validate_dataset(spark, yaml_path)
     if not report.ok:
-        raise ValueError("\n".join(report.errors))
+        raise ReportError(report)
     sizes = statistics.size_percentiles(report.tables["boxes"], []).first().asDict()
     return Report({"splits": report.counts, **{k: v if v is not None else 0.0 for k, v in sizes.items()}}, [], report.tables)
 
@@ -120,7 +132,7 @@ def inspect_export(spark: SparkSession, folder: str, classes: dict[int, str] | N
     if classes is not None and {k: v.strip().lower() for k, v in classes.items()} != {0: "ant"}:
         problems.append("data.yaml must name exactly one class, 0 = ant")
     summary = {"images": counts, "detections": totals.get("detection", 0), "polygons": totals.get("segmentation", 0), "invalid_lines": labels.all_errors(parsed).count(), "class_ids": ids}
-    return Report(summary, problems, {"records": records, "boxes": parsed.where(F.col("error").isNull())})
+    return Report(summary, problems, {"records": records, "boxes": parsed.where(F.col("error").isNull()), "errors": errors})
 
 
 def prepare_export(spark: SparkSession, folder: str, train_fraction: float, gap: int, allow_test: bool = False, classes: dict[int, str] | None = None) -> Report:
@@ -130,7 +142,7 @@ def prepare_export(spark: SparkSession, folder: str, train_fraction: float, gap:
     """
     found = inspect_export(spark, folder, classes)
     if not found.ok:
-        raise ValueError("\n".join(found.errors))
+        raise ReportError(found)
     records = temporal.eligible(found.tables["records"], "split", allow_test).withColumn("all", F.lit(0))
     if records.limit(2).count() < 2:
         raise ValueError("an export needs at least two eligible images")
@@ -147,28 +159,35 @@ def prepare_export(spark: SparkSession, folder: str, train_fraction: float, gap:
 def convert_sequence(spark: SparkSession, gt_path: str, info: files.SequenceInfo, image_frames: DataFrame) -> Report:
     """Tracking ground truth to label texts and tracking rows; ``image_frames`` has a row (frame) per image.
 
-    Tables: ``labels`` (frame, text; an image without rows has an empty text) and ``tracking``. Bad lines, repeated
-    ids of a frame, boxes outside the image and rows without an image are counted and reported.
+    Tables: ``labels`` (frame, text; an image without rows has an empty text), ``tracking`` and ``errors`` (check, file,
+    line_no, frame, track_id, error). Bad lines, repeated ids of a frame, boxes outside the image, frames of rows
+    without an image, missing and extra images are counted and reported.
     """
     lines = files.read_line_files(spark, gt_path, "*")
     parsed = tracking.parse_ground_truth(lines).cache()
     rows = parsed.where(F.col("error").isNull()).withColumn("sequence", F.lit(info.name))
     boxes = tracking.to_normalized(rows, F.lit(info.width), F.lit(info.height))
     expected = spark.range(1, info.frames + 1).select(F.col("id").alias("frame"))
-    checks = {
-        "bad lines": parsed.where(F.col("error").isNotNull()).count(),
-        "repeated track ids": tracking.duplicate_tracks(rows, "sequence").count(),
-        "boxes outside the image": boxes.where(F.col("error").isNotNull()).count(),
-        "rows without an image": rows.select("frame").distinct().join(image_frames, "frame", "left_anti").count(),
-        "missing images": expected.join(image_frames, "frame", "left_anti").count(),
-        "extra images": image_frames.join(expected, "frame", "left_anti").count(),
+    own = rows.select("frame").distinct()
+    failing = {
+        "bad lines": parsed.where(F.col("error").isNotNull()).select("file", "line_no", "error"),
+        "repeated track ids": tracking.duplicate_tracks(rows, "sequence").select("frame", "track_id", F.format_string("%d rows", "copies").alias("error")),
+        "boxes outside the image": boxes.where(F.col("error").isNotNull()).select("file", "line_no", "frame", "track_id", "error"),
+        "rows without an image": own.join(image_frames, "frame", "left_anti"),
+        "missing images": expected.join(image_frames, "frame", "left_anti"),
+        "extra images": image_frames.join(expected, "frame", "left_anti").select("frame"),
     }
+    columns = {"file": "string", "line_no": "int", "frame": "bigint", "track_id": "bigint", "error": "string"}
+    shaped = lambda what, df: df.select(F.lit(what).alias("check"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+    errors = reduce(DataFrame.unionByName, [shaped(what, df) for what, df in failing.items()])
+    counted = {r.check: r.n for r in errors.groupBy("check").agg(F.count("*").alias("n")).collect()}
+    checks = {what: counted.get(what, 0) for what in failing}
     good = boxes.where(F.col("error").isNull()).withColumn("text_line", labels.format_label(F.lit(0), {c: F.col(f"norm_{c}") for c in labels.FIELDS}))
     texts = files.label_texts(image_frames, good, "frame", "text_line", ["line_no"])
     track = rows.select("sequence", "frame", temporal.sequence_name(F.col("frame"), info.extension).alias("image"), F.col("track_id").alias("trackId"), F.struct("x", "y", "width", "height").alias("bbox"), "flag")
     summary = tracking.sequence_summary(rows, "sequence").first()
     counts = {**(summary.asDict() if summary else {}), **checks, "images_without_gt": image_frames.join(rows, "frame", "left_anti").count()}
-    return Report(counts, [f"{n} {what}" for what, n in checks.items() if n], {"labels": texts, "tracking": track})
+    return Report(counts, [f"{n} {what}" for what, n in checks.items() if n], {"labels": texts, "tracking": track, "errors": errors})
 
 
 def evaluate_benchmark(images: DataFrame, truth: DataFrame, predictions: DataFrame, sequence: str = "sequence", image: str = "image", baseline: DataFrame | None = None) -> dict[str, DataFrame]:
