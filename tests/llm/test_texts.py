@@ -180,6 +180,20 @@ def test_thresholds_adapt(spark):
     assert 5000 in got and got[5000] < 0.3 and sum(k >= 1000 and k < 2000 for k in got) == 300 and got[1000] == 0.3
 
 
+def test_repeated_sentences_and_paragraphs_are_flagged(spark):
+    random.seed(7)
+    words = lambda n: [f"u{random.randrange(10**6)}" for _ in range(n)]
+    clean = [(i, " ".join(words(60)) + ".", "s") for i in range(200)]
+    sentence = ["Buzz hum wing leg."] * 8  # 4 words between others: no run of 5 words twice
+    rows = [(1000, " ".join(" ".join(words(3)) + ". " + t for t in sentence), "s")]
+    paragraph = "Antennae touch softly tonight"
+    rows += [(1001, "\n\n".join(p for _ in range(6) for p in (" ".join(words(5)), paragraph)), "s"), (1002, "Short ant. Short ant.", "s")]
+    got = {r.doc_id: r for r in repetition.flag(docs(spark, clean + rows)).collect()}
+    assert set(got) == {1000, 1001} and all(r.run_share < r.threshold for r in got.values())
+    assert got[1000].sentence_share >= got[1000].sentence_threshold and got[1001].paragraph_share >= got[1001].paragraph_threshold
+    assert repetition.flag(docs(spark, clean + rows), measures=("run_share",)).count() == 0
+
+
 def test_sentences_and_paragraphs(spark):
     r = repetition.measure(docs(spark, [(1, "One ant. One ant. Two ants.\n\nPara here.\n\nPara here.", "s")])).first()
     assert 0 < r.sentence_share < 1 and 0.2 < r.paragraph_share < 0.4

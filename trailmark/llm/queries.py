@@ -109,7 +109,7 @@ def p9_repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_flagged(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents at or above the threshold of their language and source."""
+    """Documents at or above a threshold of their language and source: of runs, sentences or paragraphs."""
     return repetition.flag(read_table(spark, folder, "documents"))
 
 
@@ -119,7 +119,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     No group's threshold exceeds the ceiling of 0.3, so the adaptive filter loses none of them; the share
     itself is then compared in whole numbers.
     """
-    found = repetition.flag(read_table(spark, folder, "documents"), ceiling=0.3, min_words=20)
+    found = repetition.flag(read_table(spark, folder, "documents"), ceiling=0.3, min_words=20, measures=("run_share",))
     return found.where(F.col("repeated_runs") * 10 >= F.col("runs") * 3).select("doc_id")
 
 

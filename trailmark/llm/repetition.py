@@ -1,18 +1,19 @@
 """Repetition inside single documents, with thresholds that adapt to language and source.
 
 Each document's repeated shares (runs of words, sentences, paragraphs) are measured on its worker. A
-mergeable quantile sketch per language and source gives a threshold for that group; documents at or
-above the threshold of their group come out by a join.
+mergeable quantile sketch per measure, language and source gives a threshold for that group; documents at
+or above a threshold of their group come out by a join.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import qdigest
@@ -21,6 +22,8 @@ from trailmark.llm.words import Words, in_chunks, mix
 from trailmark.session import materialize
 
 _MEASURES = "n_words bigint, runs bigint, repeated_runs bigint, sentence_share double, paragraph_share double"
+#: Measures of repetition and the columns of their thresholds.
+SHARES = {"run_share": "threshold", "sentence_share": "sentence_threshold", "paragraph_share": "paragraph_threshold"}
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
@@ -83,24 +86,30 @@ def measure(documents: DataFrame, run: int = 5, doc_id: str = "doc_id", text: st
     return got.withColumn("run_share", share)
 
 
-def thresholds(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.99, k: int = 1600) -> DataFrame:
-    """A threshold per group: the given quantile of ``run_share``, from a q-digest (groups, n, threshold)."""
-    digest = qdigest.build(measured.where(F.col("runs") > 0), list(groups), "run_share", k)
-    return qdigest.quantiles(digest, list(groups), [quantile], k).select(*groups, "n", F.col("value").alias("threshold"))
+def thresholds(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.99, k: int = 1600, measures: tuple[str, ...] = tuple(SHARES)) -> DataFrame:
+    """A threshold per group and measure: the given quantile of each of ``measures``, from q-digests (groups, measure, n, threshold)."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("share")) for m in measures]))
+    shares = measured.where(F.col("runs") > 0).select(*groups, each.alias("m")).select(*groups, "m.*")
+    digest = qdigest.build(shares, [*groups, "measure"], "share", k)
+    return qdigest.quantiles(digest, [*groups, "measure"], [quantile], k).select(*groups, "measure", "n", F.col("value").alias("threshold"))
 
 
-def flag(documents: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.99, floor: float = 0.05, ceiling: float = 0.3, min_words: int = 20) -> DataFrame:
-    """Documents whose repeated share reaches the threshold of their group, with the measures and the threshold.
+def flag(documents: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.99, floor: float = 0.05, ceiling: float = 0.3, min_words: int = 20, measures: tuple[str, ...] = tuple(SHARES)) -> DataFrame:
+    """Documents of which a repeated share reaches its threshold in their group, with the measures and the thresholds.
 
-    The group's quantile is held between ``floor`` (a clean group flags nobody for a chance repeat) and
+    The thresholds are ``threshold`` of ``run_share``, ``sentence_threshold`` and ``paragraph_threshold``; one of
+    ``measures`` that reaches its own is enough. The group's quantile is held between ``floor`` (a clean group flags nobody for a chance repeat) and
     ``ceiling`` (a group that is mostly spam can't hide its spam). Null languages and sources form groups of
     their own. The measures are written once, as both the sketches and the filter read them.
     """
     measured = materialize(measure(documents, groups=groups), "repetition")
     cut = F.greatest(F.lit(floor), F.least(F.lit(ceiling), F.col("threshold")))
-    limits = thresholds(measured, groups, quantile).select(*[F.col(g).alias(f"__{g}") for g in groups], cut.alias("threshold"))
+    own = [F.max(F.when(F.col("measure") == m, cut)).alias(SHARES[m]) for m in measures]
+    limits = thresholds(measured, groups, quantile, measures=measures).groupBy(*groups).agg(*own)
+    limits = limits.select(*[F.col(g).alias(f"__{g}") for g in groups], *[SHARES[m] for m in measures])
     same = F.lit(True)
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    joined = measured.where((F.col("n_words") >= min_words) & (F.col("run_share") >= F.lit(floor))).join(limits, same)
-    return joined.where(F.col("run_share") >= F.col("threshold")).drop(*[f"__{g}" for g in groups])
+    joined = measured.where((F.col("n_words") >= min_words) & (F.greatest(*[F.col(m) for m in measures], F.lit(0.0)) >= F.lit(floor))).join(limits, same)
+    reached = reduce(Column.__or__, [F.col(m) >= F.col(SHARES[m]) for m in measures])
+    return joined.where(reached).drop(*[f"__{g}" for g in groups])
