@@ -75,6 +75,18 @@ def test_no_entity_is_spread_and_shares_are_close(spark, draw, tolerance):
         assert abs(r.share - r.target) < tolerance, r
 
 
+def test_ties_of_all_rows_hold(spark):
+    rows = [(None, "a", "v1", "s1"), (None, "a", "v2", "s1"), (10, "a", "v1", None), (11, "b", "v2", None)]
+    rows += [(5, "a", "v3", "s3"), (5, "a", "v4", "s4"), (12, "a", "v3", None), (13, "a", "v4", None), (14, "a", "v5", "s3"), (15, "a", "v6", "s4"), (16, "a", None, None)]
+    df = manifest(spark, rows)
+    got = splits.group_splits(df).collect()
+    assert sorted((r.image_id or 0) for r in got) == [0, 0, 5, *range(10, 17)]
+    component = {r.image_id: r.component for r in got if r.image_id is not None}
+    assert component[10] == component[11] and {r.component for r in got if r.image_id is None} == {component[10]}
+    assert len({component[i] for i in (5, 12, 13, 14, 15)}) == 1 and len(set(component.values())) == 3
+    assert splits.split_report(df).agg(F.sum("images")).first()[0] == 10
+
+
 def test_assignment_beats_order(spark):
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 20, (200, 4)).astype(float)

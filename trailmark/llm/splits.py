@@ -103,19 +103,32 @@ def assign_units(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
 
 
 def group_splits(manifest: DataFrame, image_id: str = "image_id", stratum: str = "subdomain_group", proportions: Proportions | None = None) -> DataFrame:
-    """(image_id, component, split), a row per distinct image id.
+    """(image_id, component, split), a row per distinct image id and one for each row with a null id.
 
-    No video and no session is spread over two splits. A row with neither is a group of its own by its
-    id; one with a null id keeps the null. Repeated deliveries of an image count once. Null strata form a
+    No video and no session is spread over two splits; an id that is delivered under several ties them. A row
+    with neither is a group of its own by its id. Repeated deliveries of an image count once. Null strata form a
     stratum. An empty table gives an empty result.
     """
-    proportions = proportions or Proportions()
+    return _assigned(manifest, image_id, stratum, proportions or Proportions()).drop("stratum")
+
+
+def _assigned(manifest: DataFrame, image_id: str, stratum: str, proportions: Proportions) -> DataFrame:
+    """:func:`group_splits` with the stratum of each row."""
     spark = manifest.sparkSession
     rows = entity_rows(manifest.select(image_id, stratum, "video_filename", "session_group"))
     rows = rows.select(F.col(image_id).alias("image_id"), F.coalesce(stratum_key(F.col(stratum)), F.lit("")).alias("stratum"), "__video", "__session")
-    # Repeated deliveries are equal; should they differ, the id falls to the least of its entities.
-    rows = rows.groupBy("image_id").agg(F.min(F.struct("__video", "__session", "stratum")).alias("r")).select("image_id", "r.*")
-    graph = materialize(components(ties(rows)), "components")
+    # Repeated deliveries are equal; should they differ, the ties of all of them hold and the id ties them too.
+    edges, own = ties(rows), F.struct("__video", "__session")
+    named = rows.where(F.col("image_id").isNotNull())
+    reduced = named.groupBy("image_id").agg(F.min(F.struct("__video", "__session", "stratum")).alias("r"), (~F.min(own).eqNullSafe(F.max(own))).alias("differs"))
+    reduced = materialize(reduced.select("image_id", "r.*", "differs"), "images")
+    differing = reduced.where("differs").select("image_id")
+    if not differing.isEmpty():
+        again = named.join(differing, "image_id", "left_semi")
+        record = F.concat(F.lit("\x02id:"), F.col("image_id").cast("string"))
+        edges = edges.unionByName(again.select(record.alias("record"), F.explode(F.array("__video", "__session")).alias("entity")).where(F.col("entity").isNotNull()).distinct())
+    rows = reduced.drop("differs").unionByName(rows.where(F.col("image_id").isNull()))
+    graph = materialize(components(edges), "components")
     own = F.concat(F.lit("2"), F.coalesce(F.col("image_id").cast("string"), F.lit("")))
     rows = rows.withColumn("entity", F.coalesce("__video", "__session", own))
     grouped = salted_lookup(rows, graph, ["entity"], F.col("image_id")).withColumn("component", F.coalesce("component", "entity"))
@@ -141,15 +154,15 @@ def group_splits(manifest: DataFrame, image_id: str = "image_id", stratum: str =
     labels = [s for s, _ in proportions.items()]
     decided = spark.createDataFrame([(u, labels[c]) for u, c in zip(names, chosen)], "unit string, split string")
     lookup = units.join(F.broadcast(decided), "unit").select("component", "split")
-    return salted_lookup(grouped.select("image_id", "component"), lookup, ["component"], F.col("image_id"))
+    found = salted_lookup(grouped, lookup, ["component"], F.col("image_id"))
+    return found.select("image_id", "component", "split", "stratum")
 
 
 def split_report(manifest: DataFrame, proportions: Proportions | None = None) -> DataFrame:
     """(stratum, split, images, share, target): how close each stratum came."""
     proportions = proportions or Proportions()
-    got = group_splits(manifest, proportions=proportions)
-    strata = manifest.groupBy("image_id").agg(F.min(F.coalesce(stratum_key(F.col("subdomain_group")), F.lit(""))).alias("stratum"))
-    counts = got.join(strata, "image_id").groupBy("stratum", "split").agg(F.count("*").alias("images"))
+    got = _assigned(manifest, "image_id", "subdomain_group", proportions)
+    counts = got.groupBy("stratum", "split").agg(F.count("*").alias("images"))
     target = F.coalesce(*[F.when(F.col("split") == s, F.lit(p)) for s, p in proportions.items()])
     share = F.col("images") / F.sum("images").over(Window.partitionBy("stratum"))
     return counts.withColumn("share", share).withColumn("target", target)
