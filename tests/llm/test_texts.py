@@ -30,38 +30,54 @@ def test_words():
     assert Words(["b a"]).hashes[1] == Words(["xx a"]).hashes[1]
 
 
-def test_edit_distance():
+def test_window_edits():
     random.seed(1)
-    rows = [([random.randrange(4) for _ in range(8)], [random.randrange(4) for _ in range(8)]) for _ in range(60)]
+    rows = [([random.randrange(4) for _ in range(8)], [random.randrange(4) for _ in range(12)]) for _ in range(200)]
+    a, b = (np.array([r[k] for r in rows], np.uint64) for k in (0, 1))
+    want = [least_edits(x, y) for x, y in rows]
+    assert leakage.least_window_edits(a, b).tolist() == want
+    x, y = [1, 2, 3, 4, 5, 6, 7, 8], [0, 0, 1, 2, 9, 3, 4, 6, 7, 8, 0, 0]  # one word more, one less
+    assert leakage.may_be_near(np.array([x]), np.array([y]), 2).all() and not leakage.may_be_near(np.array([x]), np.array([y[:4] + [0] * 8]), 2).any()
 
-    def slow(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(new[j] + 1, d[j + 1] + 1, d[j] + (x != y)))
-            d = new
-        return d[-1]
 
-    a, b = (np.array([r[k] for r in rows], np.uint64) for k in (0, 1))
-    want = [slow(x, y) for x, y in rows]
-    assert leakage.edit_distances(a, b).tolist() == want
-    for e in (0, 1, 2):
-        assert all(ok for ok, w in zip(leakage.may_be_near(a, b, e), want) if w <= e)
+def with_edits(words, kinds, rng):
+    out = list(words)
+    for kind, at in zip(kinds, sorted(rng.sample(range(len(words)), len(kinds)), reverse=True)):
+        new = {"r": [f"new{rng.randrange(999)}"], "i": [f"new{rng.randrange(999)}", out[at]], "d": []}
+        out[at : at + 1] = new[kind]
+    return out
 
 
-def test_recall_of_edited_windows():
-    random.seed(1)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("kinds", ["r", "i", "d", "rr", "ii", "dd", "id", "rd", "ri"])
+def test_recall_of_edited_windows(seed, kinds):
+    rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(3000)]
-    items = [(i, " ".join(random.choice(vocab) for _ in range(12))) for i in range(1500)]
-    edited = []
-    for i, t in items:
-        w = t.split()
-        w[random.randrange(12)] = "zz"
-        edited.append((i, " ".join(random.choice(vocab) for _ in range(5)) + " " + " ".join(w) + " end"))
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(12))) for i in range(800)]
+    around = lambda: [rng.choice(vocab) for _ in range(6)]
+    edited = [(i, " ".join(around() + with_edits(t.split(), kinds, rng) + around())) for i, t in items]
+    got = leakage._search_chunk(edited, leakage.ItemIndex(items, leakage.Search(seed=seed)))
+    assert len(got[got.doc_id == got.item_id]) / len(items) >= 0.95
+    assert got.edits.max() <= 2 and (got.windows == 1).all()
+
+
+def test_passage_with_an_insertion_in_every_window():
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(24))) for i in range(300)]
+    edited = [(i, "a b c " + " ".join(with_edits(t.split(), "iiii", rng)) + " d e f") for i, t in items]
+    got = leakage._search_chunk(edited, leakage.ItemIndex(items, leakage.Search()))
+    assert len(got[got.doc_id == got.item_id]) / len(items) >= 0.9
+
+
+def test_repeated_words_stay_bounded():
+    import resource
+
+    items = [(i, "same " * 400) for i in range(60)] + [(60 + i, "same " * i) for i in range(3, 40)]
     index = leakage.ItemIndex(items, leakage.Search())
-    got = leakage._search_chunk(edited, index)
-    assert len(got[got.doc_id == got.item_id]) / len(items) >= 0.9 and set(got.edits) == {1}
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = leakage._search_chunk([(1, "same " * 3000)], index, leakage.WholeItems(index.words, 0.2))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert len(got) == 97 and (got[got.item_id < 60].exact_run == 400).all() and (got.item_edits == 0).all() and got.windows.max() == 1
 
 
 def test_leaks_against_brute_force(spark):
@@ -94,9 +110,12 @@ def test_leaks_against_brute_force(spark):
 
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "MAX_WINDOWS", 50)
+    monkeypatch.setattr(leakage, "TABLE_BITS", 20)
     text = " ".join(f"a{i}" for i in range(30))
-    passages = spark.createDataFrame([(i, f"b{i} " * 3 + text, 1) for i in range(6)], ITEM)
-    assert leakage.leaked_passages(docs(spark, [(1, text, "s")]), passages).count() == 6
+    passages = spark.createDataFrame([(i, f"b{i} " * 3 + text, 1) for i in range(6)] + [(9, "tiny", 1)], ITEM)
+    rows = docs(spark, [(1, text, "s"), (2, "nothing of it", "s"), (3, "x tiny y", "s")])
+    assert leakage.leaked_passages(rows, passages).count() == 6
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(rows, passages).collect()} == {(1, i) for i in range(6)} | {(3, 9)}
 
 
 def test_exact_run_is_measured(spark):
