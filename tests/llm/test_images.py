@@ -43,9 +43,11 @@ def test_near_images_against_brute_force(spark, monkeypatch):
     rows = [(i, None, text(p), text(d)) for i, p, d in data] + [(900, None, "0", "1"), (901, None, None, "1"), (902, None, "zz", "1"), (None, None, "1", "1")]
     want = {(a[0], b[0]) for a, b in combinations(data, 2) if bits(a[1], b[1]) <= 3 and bits(a[2], b[2]) <= 5}
     df = frames(spark, rows + rows[:20])
-    for hot, cost in ((neardup.HOT, neardup.KEY_COST), (3, neardup.KEY_COST), (neardup.HOT, 0.0), (neardup.HOT, 1e9)):
+    usual = (neardup.HOT, neardup.KEY_COST, neardup.TOKENS)
+    for hot, cost, tokens in (usual, (3, *usual[1:]), (usual[0], 0.0, usual[2]), (usual[0], 3.0, usual[2]), (2, 0.0, ((6, 1 << 62),)), (usual[0], 2.0, ((8, 1 << 62),))):
         monkeypatch.setattr(neardup, "HOT", hot)
         monkeypatch.setattr(neardup, "KEY_COST", cost)
+        monkeypatch.setattr(neardup, "TOKENS", tokens)
         got = [(r.image_a, r.image_b) for r in neardup.near_images(df).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert neardup.near_images(df.limit(0)).count() == 0
