@@ -71,3 +71,12 @@ def test_empty_tables(spark, which):
     got = sampling.stratified_sample(rows.limit(0) if which != "targets" else rows, targets.limit(0) if which != "manifest" else targets, size=3)
     assert got.sample.count() == 0 and got.groups.count() == (1 if which == "manifest" else 0)
     assert got.bins.count() == (1 if which == "targets" else 0)
+
+
+def test_thousands_of_bins(spark):
+    rows = [(i, "ab"[i % 2], f"v{i % 4}.mp4", i // 4, 3000) for i in range(12_000)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "subdomain_group string, target_share double, min_images int")
+    got = sampling.stratified_sample(manifest(spark, rows), targets, size=7500)
+    per = {(r.subdomain_group, r.temporal_bin): r["count"] for r in got.sample.groupBy("subdomain_group", "temporal_bin").count().collect()}
+    assert len(per) == 6000 and set(per.values()) == {1, 2} and sum(per.values()) == 7500
+    assert got.quotas.where("abs(quota - fraction) >= 1").count() == 0 and got.quotas.count() == 6000

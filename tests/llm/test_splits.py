@@ -90,7 +90,8 @@ def test_ties_of_all_rows_hold(spark):
 def test_assignment_beats_order(spark):
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 20, (200, 4)).astype(float)
-    chosen = splits.assign_units(counts, np.array([0.8, 0.1, 0.1]))
+    units = [(np.flatnonzero(c), c[c > 0]) for c in counts]
+    chosen = splits.assign_units(units, 4, np.array([0.8, 0.1, 0.1]))
     for s, p in enumerate((0.8, 0.1, 0.1)):
         assert np.all(np.abs(counts[chosen == s].sum(0) / counts.sum(0) - p) < 0.02)
 
@@ -107,3 +108,11 @@ def test_many_small_groups_share_units(spark, monkeypatch):
     df = manifest(spark, [(i, "ab"[i % 2], f"v{i // 3}", None) for i in range(900)])
     got = splits.group_splits(df)
     assert got.count() == 900 and got.groupBy("component").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+
+
+def test_every_stratum_keeps_its_proportions(spark):
+    rng = random.Random(8)
+    rows = [(i, f"g{i % 200}", f"v{i // 2}", None) for i in range(16_000)]
+    rng.shuffle(rows)
+    report = splits.split_report(manifest(spark, rows)).collect()
+    assert len({r.stratum for r in report}) == 200 and all(abs(r.share - r.target) <= 0.03 for r in report)

@@ -1,8 +1,8 @@
 """A sample of images whose shares per category follow targets, spread over the temporal bins of each video.
 
-The quotas form a two-way table (category x temporal bin). Its fractional cells are rounded by maximum
-flow with both margins kept (:mod:`rounding`), then each cell takes exactly its quota of images by random
-key, one of each video's bin before a second of any.
+The quotas form a two-way table (category x temporal bin) with a column for each bin that any image has. Its
+fractional cells are rounded by maximum flow with both margins kept (:mod:`rounding`), then each cell takes
+exactly its quota of images by random key, one of each video's bin before a second of any.
 """
 
 from __future__ import annotations
@@ -20,18 +20,18 @@ from trailmark.operators.ranking import exact_rank
 from trailmark.operators.skew import salted_lookup
 from trailmark.session import materialize
 
-#: Temporal bins that the quota table tells apart; higher ones share its last column (none are dropped).
-MAX_BINS = 1024
 _BLOCK = 4096
 
 
 @dataclass(frozen=True)
 class Sample:
-    """``sample`` (image_id, subdomain_group, video, temporal_bin), ``groups`` and ``bins`` reports."""
+    """``sample`` (image_id, subdomain_group, video, temporal_bin), ``groups`` and ``bins`` reports, and the table of
+    ``quotas`` (subdomain_group, temporal_bin, supply, fraction, quota; a null bin is none)."""
 
     sample: DataFrame
     groups: DataFrame
     bins: DataFrame
+    quotas: DataFrame
 
 
 def video_plans(manifest: DataFrame) -> DataFrame:
@@ -72,22 +72,21 @@ def spread_evenly(total: float, room: np.ndarray) -> np.ndarray:
     given = np.zeros(len(room))
     left = min(float(total), float(room.sum()))
     open_ = np.flatnonzero(room > 0)
-    for i in open_[np.argsort(room[open_], kind="stable")]:
-        n = int((room > 0).sum() - (given > 0).sum())
-        given[i] = min(room[i], left / n)
+    for turn, i in enumerate(open_[np.argsort(room[open_], kind="stable")]):
+        given[i] = min(room[i], left / (len(open_) - turn))
         left -= given[i]
     return given
 
 
-def quotas(supply: np.ndarray, shares: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
-    """Whole quotas per (group, bin); the last column holds images without a planned bin and is used last."""
-    totals = np.minimum(group_totals(size, shares, least), supply.sum(axis=1))
+def fractional_quotas(supply: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Quotas per (group, bin) with the groups' totals as row sums; the last column holds images without a planned
+    bin and is used last."""
     table = np.zeros(supply.shape)
-    for g, total in enumerate(totals):
+    for g, total in enumerate(np.minimum(totals, supply.sum(axis=1))):
         table[g, :-1] = spread_evenly(total, supply[g, :-1])
         table[g, -1] = total - table[g, :-1].sum()
     table[np.abs(table) < 1e-9] = 0
-    return controlled_rounding(table)
+    return table
 
 
 def stratified_sample(manifest: DataFrame, targets: DataFrame, fraction: float = 0.2, size: int | None = None, seed: int = 7) -> Sample:
@@ -110,25 +109,30 @@ def stratified_sample(manifest: DataFrame, targets: DataFrame, fraction: float =
     rows = rows.groupBy("image_id").agg(F.min(F.struct("g", "video", "bin")).alias("r")).select("image_id", "r.*")
     rows = salted_lookup(rows, plans, ["video"], F.col("image_id"))
     inside = (F.col("bin") >= 0) & (F.col("bin") < F.col("plan"))
-    column = F.when(inside, F.least(F.col("bin"), F.lit(MAX_BINS - 1))).otherwise(F.lit(MAX_BINS))
-    rows = rows.select("image_id", "g", "video", F.when(inside, F.col("bin")).alias("bin"), column.cast("int").alias("cell"), F.xxhash64("image_id", F.lit(seed)).alias("key"))
+    rows = rows.select("image_id", "g", "video", F.when(inside, F.col("bin")).alias("bin"), F.xxhash64("image_id", F.lit(seed)).alias("key"))
     rows = materialize(rows, "images")
 
     eligible = rows.where(F.col("g").isin([r.g for r in wanted])) if wanted else rows.limit(0)
-    supply = np.zeros((len(wanted), MAX_BINS + 1), int)
+    have = eligible.groupBy("g", "bin").count().collect()  # a row per target category and bin that images have
+    bins_used = sorted({r.bin for r in have if r.bin is not None})
+    column = {b: i for i, b in enumerate(bins_used)} | {None: len(bins_used)}
+    supply = np.zeros((len(wanted), len(column)), int)
     place = {r.g: i for i, r in enumerate(wanted)}
-    for r in eligible.groupBy("g", "cell").count().collect():  # at most categories x MAX_BINS rows
-        supply[place[r.g], r.cell] = r["count"]
+    for r in have:
+        supply[place[r.g], column[r.bin]] = r["count"]
     images = int(rows.count())
     size = int(images * fraction) if size is None else size
     shares, least = np.array([r.share for r in wanted], float), np.array([r.least for r in wanted], float)
-    quota = quotas(supply, shares, least, size) if wanted else np.zeros((0, MAX_BINS + 1), int)
-    asked = group_totals(size, shares, least) if wanted else []
-
-    cells = spark.createDataFrame([(wanted[g].g, int(b), int(quota[g, b])) for g, b in np.argwhere(quota > 0)], "g string, cell int, quota long")
+    asked = group_totals(size, shares, least) if wanted else np.zeros(0, int)
+    fractions = fractional_quotas(supply, asked)
+    quota = controlled_rounding(fractions) if wanted else np.zeros(supply.shape, int)
+    used = [(wanted[g].g, ([*bins_used, None])[b], int(supply[g, b]), float(fractions[g, b]), int(quota[g, b])) for g, b in np.argwhere(supply > 0)]
+    table = spark.createDataFrame(used, "subdomain_group string, temporal_bin long, supply long, fraction double, quota long")
+    cells = table.where(F.col("quota") > 0).select(F.col("subdomain_group").alias("g"), F.coalesce("temporal_bin", F.lit(-1)).alias("cell"), "quota")
+    eligible = eligible.withColumn("cell", F.coalesce("bin", F.lit(-1).cast("bigint")))
     turn = exact_rank(eligible, ["g", "video", "bin"], ["key", "image_id"], "turn")
     ranked = exact_rank(turn, ["g", "cell"], ["turn", "key", "image_id"], "place")
-    taken = materialize(ranked.join(F.broadcast(cells), ["g", "cell"]).where(F.col("place") <= F.col("quota")), "sample")
+    taken = materialize(ranked.join(cells, ["g", "cell"]).where(F.col("place") <= F.col("quota")), "sample")
     sample = taken.select("image_id", F.col("g").alias("subdomain_group"), "video", F.col("bin").alias("temporal_bin"))
 
     got = taken.groupBy("g").agg(F.count("*").alias("taken"))
@@ -145,14 +149,14 @@ def stratified_sample(manifest: DataFrame, targets: DataFrame, fraction: float =
         F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"),
         (F.col("quota") - F.coalesce("taken", F.lit(0))).alias("missing"),
     )
-    there = rows.where(F.col("bin").isNotNull()).groupBy("video", F.col("bin").alias("temporal_bin")).agg(F.count("*").alias("supply"))
+    # A planned bin without a draw fell short: for want of images, or because quotas went to others.
     drawn = taken.where(F.col("bin").isNotNull()).groupBy("video", F.col("bin").alias("temporal_bin")).agg(F.count("*").alias("taken"))
-    counts = there.join(drawn, ["video", "temporal_bin"], "left")
-    bins = planned_bins(plans).join(counts, ["video", "temporal_bin"], "left").select(
+    there = rows.where(F.col("bin").isNotNull()).groupBy("video", F.col("bin").alias("temporal_bin")).agg(F.count("*").alias("supply"))
+    bins = planned_bins(plans).join(drawn, ["video", "temporal_bin"], "left").join(there, ["video", "temporal_bin"], "left").select(
         "video",
         "temporal_bin",
         F.coalesce("supply", F.lit(0).cast("bigint")).alias("supply"),
         F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"),
-        F.when(F.col("supply").isNull(), "empty").when(F.col("taken").isNull(), "not drawn").otherwise("covered").alias("state"),
+        F.when(F.col("taken").isNotNull(), "covered").when(F.col("supply").isNull(), "empty").otherwise("not drawn").alias("state"),
     )
-    return Sample(sample, groups, bins)
+    return Sample(sample, groups, bins, table)

@@ -3,7 +3,8 @@
 Records tied by a shared entity, directly or over others, form a group (:mod:`components`). Groups are
 then assigned to splits so that the counts of every stratum come close to the proportions. The greedy
 assignment sees a bounded number of units: every group that is large against the whole table, and the
-small ones pooled in hash buckets per main stratum.
+small ones in hash buckets per main stratum, of each stratum as many. Every stratum has its own proportions,
+however rare it is.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from trailmark.session import materialize
 LARGE = 4000
 #: Buckets per stratum for all others.
 BUCKETS = 128
-#: Strata told apart; the rarer ones share the last.
-STRATA = 64
 
 
 @dataclass(frozen=True)
@@ -67,36 +66,39 @@ def tied_videos(manifest: DataFrame) -> DataFrame:
     return videos.select(F.substring("component", 2, 1 << 30).alias("video_a"), F.substring("entity", 2, 1 << 30).alias("video_b"))
 
 
-def assign_units(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Split of each unit (rows of ``counts``: its rows per stratum), least squared deviation from the targets.
+def assign_units(units: list[tuple[np.ndarray, np.ndarray]], strata: int, shares: np.ndarray) -> np.ndarray:
+    """Split of each unit (its strata and its rows of each), least squared deviation from the targets.
 
     Units go in order of size to the split where the deviation, each stratum weighted by its size, falls
-    most; then single moves are made as long as one helps.
+    most; then single moves are made as long as one helps. A unit costs as much as it has strata.
     """
-    total = counts.sum(axis=0)
-    weight = 1.0 / np.maximum(total, 1)
-    weight = np.append(weight, 1.0 / max(counts.sum(), 1))
-    wide = np.column_stack([counts, counts.sum(axis=1)]).astype(float)
-    target = shares[:, None] * np.append(total, counts.sum())[None, :]
-    filled, chosen = np.zeros_like(target), np.zeros(len(counts), int)
-    w = weight**2 * np.append(np.ones(len(total)), len(total))
-    for i in np.argsort(-wide[:, -1], kind="stable"):
-        gap = filled - target
-        cost = ((gap + wide[i]) ** 2 - gap**2) @ w
-        chosen[i] = int(np.argmin(cost))
-        filled[chosen[i]] += wide[i]
+    # One more stratum stands for all rows, so that the whole keeps its proportions too.
+    wide = [(np.append(i, strata), np.append(n, n.sum()).astype(float)) for i, n in units]
+    total = np.zeros(strata + 1)
+    for i, n in wide:
+        total[i] += n
+    w = 1.0 / np.maximum(total, 1) ** 2
+    w[strata] *= strata
+    target = shares[:, None] * total[None, :]
+    filled, chosen = np.zeros_like(target), np.zeros(len(units), int)
+    order = np.argsort([-n[-1] for _, n in wide], kind="stable")
+    for u in order:
+        i, n = wide[u]
+        gap = filled[:, i] - target[:, i]
+        chosen[u] = int(np.argmin(((gap + n) ** 2 - gap**2) @ w[i]))
+        filled[chosen[u], i] += n
     for _ in range(20):
         moved = False
-        for i in np.argsort(-wide[:, -1], kind="stable"):
-            gap, own = filled - target, chosen[i]
-            leave = ((gap[own] - wide[i]) ** 2 - gap[own] ** 2) @ w
-            cost = leave + ((gap + wide[i]) ** 2 - gap**2) @ w
+        for u in order:
+            (i, n), own = wide[u], chosen[u]
+            gap = filled[:, i] - target[:, i]
+            cost = ((gap[own] - n) ** 2 - gap[own] ** 2) @ w[i] + ((gap + n) ** 2 - gap**2) @ w[i]
             cost[own] = 0.0
             best = int(np.argmin(cost))
             if cost[best] < -1e-15:
-                filled[own] -= wide[i]
-                filled[best] += wide[i]
-                chosen[i], moved = best, True
+                filled[own, i] -= n
+                filled[best, i] += n
+                chosen[u], moved = best, True
         if not moved:
             break
     return chosen
@@ -136,24 +138,21 @@ def _assigned(manifest: DataFrame, image_id: str, stratum: str, proportions: Pro
 
     cells = grouped.groupBy("component", "stratum").agg(F.count("*").alias("n"))
     total = grouped.count()
-    frequent = [r.stratum for r in grouped.groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(STRATA - 1).collect()]
-    known = F.when(F.col("stratum").isin(frequent), F.col("stratum")).otherwise(F.lit("\x02others")) if frequent else F.col("stratum")
-    cells = cells.withColumn("stratum", known).groupBy("component", "stratum").agg(F.sum("n").alias("n"))
     sizes = cells.groupBy("component").agg(F.sum("n").alias("size"), F.max_by("stratum", F.struct("n", "stratum")).alias("main"))
     bucket = F.concat_ws("\x02", F.lit("small"), "main", F.pmod(F.xxhash64("component"), F.lit(BUCKETS)).cast("string"))
     unit = F.when(F.col("size") * LARGE > total, F.concat(F.lit("large\x02"), "component")).otherwise(bucket)
     units = materialize(sizes.select("component", unit.alias("unit")), "units")
     counts = cells.join(units, "component").groupBy("unit", "stratum").agg(F.sum("n").alias("n")).orderBy("unit", "stratum").collect()
-    names = sorted({r.unit for r in counts})
-    strata = sorted({r.stratum for r in counts})
-    table = np.zeros((len(names), max(len(strata), 1)))
-    place, column = {u: i for i, u in enumerate(names)}, {s: i for i, s in enumerate(strata)}
+    column = {name: i for i, name in enumerate(sorted({r.stratum for r in counts}))}
+    units_of: dict[str, list] = {}
     for r in counts:
-        table[place[r.unit], column[r.stratum]] = r.n
-    chosen = assign_units(table, np.array([p for _, p in proportions.items()]))
+        units_of.setdefault(r.unit, []).append((column[r.stratum], r.n))
+    names = sorted(units_of)
+    parts = [tuple(np.array(x) for x in zip(*units_of[u])) for u in names]
+    chosen = assign_units(parts, len(column), np.array([p for _, p in proportions.items()]))
     labels = [s for s, _ in proportions.items()]
     decided = spark.createDataFrame([(u, labels[c]) for u, c in zip(names, chosen)], "unit string, split string")
-    lookup = units.join(F.broadcast(decided), "unit").select("component", "split")
+    lookup = units.join(decided, "unit").select("component", "split")
     found = salted_lookup(grouped, lookup, ["component"], F.col("image_id"))
     return found.select("image_id", "component", "split", "stratum")
 
