@@ -30,11 +30,9 @@ def sha_key(c: Column) -> Column:
 
 def hash64(c: Column) -> Column:
     """A hexadecimal number of 1 to 16 digits as a signed 64-bit value; zero and anything else is null."""
-    digits = F.regexp_extract(F.lower(trimmed(c)), "^(?:0x)?([0-9a-f]{1,16})$", 1)
-    padded = F.lpad(digits, 16, "0")
-    high = F.conv(F.substring(padded, 1, 8), 16, 10).cast("bigint")
-    low = F.conv(F.substring(padded, 9, 8), 16, 10).cast("bigint")
-    return F.when(digits != "", F.nullif(F.shiftleft(high, 32).bitwiseOR(low), F.lit(0).cast("bigint")))
+    # Zero has no first digit after its zeros, so that it fails to match like other unusable texts.
+    digits = F.regexp_extract(F.lower(trimmed(c)), "^(?:0x)?(?=[0-9a-f]{1,16}$)0*([1-9a-f][0-9a-f]*)$", 1)
+    return F.conv(digits, 16, -10).cast("bigint")
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.session import materialize
 
 #: Rows of a key beyond which it is spread, and over how many tasks.
 HOT_ROWS = 500_000
 SALTS = 64
+#: Hot keys that are broadcast at most; more of them are joined as the optimizer sees fit.
+MOST_BROADCAST = 1_000_000
 
 
 def salted_lookup(
@@ -17,18 +20,23 @@ def salted_lookup(
     """Join ``rows`` to ``lookup`` (one row per key); the rows of a hot key are spread over ``salts`` tasks.
 
     ``hot`` names the hot keys if the caller has counted them; else they are counted here, with partial
-    aggregation. There are fewer than rows / ``hot_rows`` of them, which bounds their broadcast, and only
-    their lookup rows are repeated. Rows with a null key match nothing and are spread too. ``spread`` is
-    hashed to choose the salt and must be deterministic per row.
+    aggregation. They are written and counted, so that their broadcast has a checked size, and only their lookup
+    rows are repeated; without any, nothing is. Rows with a null key match nothing and are spread too. ``spread``
+    is hashed to choose the salt and must be deterministic per row.
     """
     if hot is None:
         hot = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows)
-    hot = F.broadcast(hot.select(*keys).withColumn("__hot", F.lit(True)))
+    hot = materialize(hot.select(*keys).withColumn("__hot", F.lit(True)), "hot")
+    found = hot.count()
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
-    salt = F.when(F.col("__hot") | some_null, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    big = rows.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    apart = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    if not found:
+        big = rows.withColumn("__salt", F.when(some_null, apart).otherwise(F.lit(0)))
+        return big.join(lookup.withColumn("__salt", F.lit(0)), [*keys, "__salt"], how).drop("__salt")
+    hot = F.broadcast(hot) if found <= MOST_BROADCAST else hot
+    big = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot") | some_null, apart).otherwise(F.lit(0))).drop("__hot")
     every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     small = lookup.join(hot, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
     return big.join(small, [*keys, "__salt"], how).drop("__salt")
@@ -37,9 +45,11 @@ def salted_lookup(
 def member_chunks(members: DataFrame, key: str, member: str, size: int = 512) -> DataFrame:
     """Members of each key in arrays of about ``size``: (key, chunk, ids). No array grows with its group."""
     counts = members.groupBy(key).agg(F.count("*").alias("__n"))
+    counts = materialize(counts.where(F.col("__n") > size), "sizes")  # of larger groups only
+    if counts.isEmpty():
+        return members.groupBy(key).agg(F.collect_list(member).alias("ids")).select(key, F.lit(0).cast("bigint").alias("chunk"), "ids")
     chunk = F.pmod(F.xxhash64(member), F.ceil(F.col("__n") / F.lit(size)).cast("bigint"))
-    several = counts.where(F.col("__n") > size)
-    tagged = salted_lookup(members, several, [key], F.col(member), hot=counts.where(F.col("__n") > HOT_ROWS))
+    tagged = salted_lookup(members, counts, [key], F.col(member), hot=counts.where(F.col("__n") > HOT_ROWS))
     tagged = tagged.withColumn("chunk", F.coalesce(chunk, F.lit(0).cast("bigint")))
     return tagged.groupBy(key, "chunk").agg(F.collect_list(member).alias("ids"))
 

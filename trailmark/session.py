@@ -46,12 +46,30 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage (an iteration doesn't replay its past, a lost executor costs only its
-    running tasks) and fixes results that a recomputation could order differently.
+    running tasks) and fixes results that a recomputation could order differently. The table goes when the
+    driver's JVM ends, or before by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    system, place = file_system(spark, path)
+    system.deleteOnExit(place)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        system, place = file_system(df.sparkSession, df.scratch)
+        system.delete(place, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path or URI, and the path as it knows it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
