@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.session import materialize
+from trailmark.session import materialize, release
 
 #: An entity with more records than this is cut into parts that a hub record ties together again.
 HOT = 20_000
@@ -33,11 +33,14 @@ def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     round is written to the shared folder. Rows with a null record or entity are left out.
     """
     clean = edges.where(F.col("record").isNotNull() & F.col("entity").isNotNull()).select("record", "entity").distinct()
-    state = _without_hot_entities(materialize(clean, "edges"), hot).withColumn("label", F.col("entity"))
+    last = materialize(clean, "edges")
+    state = _without_hot_entities(last, hot).withColumn("label", F.col("entity"))
     by_record, by_node = Window.partitionBy("record"), Window.partitionBy("node")
     while True:
         pushed = state.withColumn("new", F.min("label").over(by_record)).withColumn("new", F.min("new").over(by_node))
         pushed = materialize(pushed, "labels")
+        release(last)
+        last = pushed
         if pushed.where(F.col("new") < F.col("label")).limit(1).count() == 0:
             break
         moved = pushed.groupBy("entity").agg(F.min("new").alias("root")).where(F.col("root") < F.col("entity"))

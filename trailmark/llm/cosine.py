@@ -16,8 +16,15 @@ def _postings(vectors: DataFrame) -> DataFrame:
     return vectors.select("key", F.explode("terms").alias("t")).select("key", "t.term", "t.weight", "t.parts")
 
 
-def _statistics(postings: DataFrame, n: str, most: str) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias(n), F.max("weight").alias(most))
+def _statistics(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(term, n_left, n_right, max_left, max_right) of the terms that both sides have, in one aggregation."""
+    sides = left.select("term", "weight", F.lit(True).alias("l")).unionByName(right.select("term", "weight", F.lit(False).alias("l")))
+    here, there = F.col("l"), ~F.col("l")
+    counted = sides.groupBy("term").agg(
+        F.count_if(here).alias("n_left"), F.count_if(there).alias("n_right"),
+        F.max(F.when(here, F.col("weight"))).alias("max_left"), F.max(F.when(there, F.col("weight"))).alias("max_right"),
+    )
+    return counted.where((F.col("n_left") > 0) & (F.col("n_right") > 0))
 
 
 def _prefix(terms: Column, threshold: float) -> Column:
@@ -66,7 +73,7 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     whose parts are empty has no such guarantee and keeps its list. Pairs are verified within the join.
     """
     lp, rp = _postings(left), _postings(right)
-    both = _statistics(lp, "n_left", "max_left").join(_statistics(rp, "n_right", "max_right"), "term")
+    both = _statistics(lp, rp)
     both = materialize(both.withColumn("hot", F.col("n_left") * F.col("n_right") > HOT_PAIRS), "lists")
 
     def keyed(postings: DataFrame, other: str) -> DataFrame:

@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.hashing import hamming, hash64
+from trailmark.functions.hashing import hash64
+from trailmark.functions.numeric import fixed_columns
 from trailmark.llm.components import components
 from trailmark.llm.words import mix
 from trailmark.operators.skew import HOT_ROWS, expand_pairs, member_chunks, salted_lookup
@@ -42,7 +43,7 @@ _PAIR = "phash_a bigint, dhash_a bigint, phash_b bigint, dhash_b bigint"
 
 def fingerprints(manifest: DataFrame) -> DataFrame:
     """(image_id, phash, dhash) of images with both hashes, distinct."""
-    rows = manifest.select("image_id", hash64(F.col("phash")).alias("phash"), hash64(F.col("dhash64")).alias("dhash"))
+    rows = fixed_columns(manifest.select("image_id", F.col("phash").alias("p"), F.col("dhash64").alias("d")), {"phash": hash64(F.col("p")), "dhash": hash64(F.col("d"))}).drop("p", "d")
     return rows.where(F.col("image_id").isNotNull() & F.col("phash").isNotNull() & F.col("dhash").isNotNull()).distinct()
 
 

@@ -1,8 +1,10 @@
 """Images that stand in training and in evaluation, exactly or nearly.
 
-A SHA is a vector of one term. A perceptual hash is cut into four blocks of 16 bits and is a unit vector
-over its six pairs of blocks: two hashes that differ in at most 2 bits agree in two blocks at least, so
-their cosine is at least 1/6. The cosine join runs over distinct hashes; images come in at the end.
+A SHA is a vector of one term. A perceptual hash is cut into five blocks of 12 or 13 bits and is a unit vector
+over its ten pairs of blocks: two hashes that differ in at most 2 bits agree in three blocks at least, hence in
+three pairs, so that their cosine is at least 0.3. The residual norm then leaves out two terms of a hash whose
+terms all stand on the other side, and a hash with fewer than three such terms altogether. The cosine join runs
+over distinct hashes; images come in at the end.
 """
 
 from __future__ import annotations
@@ -28,32 +30,34 @@ def images(manifest: DataFrame, holdout: DataFrame) -> DataFrame:
     """
     split = name_key(F.col("split_name"))
     side = F.when(split == "train", "train").when(split.isin(*EVALUATION), "evaluation")
-    own = manifest.select(
+    own = manifest.where(split.isin("train", *EVALUATION)).select(
         "image_id", side.alias("side"), split.alias("split"), "source_name", sha_key(F.col("image_sha256")).alias("sha"), hash64(F.col("phash")).alias("phash")
-    ).where(F.col("side").isNotNull())
+    )
     held = holdout.select(
         "image_id", F.lit("evaluation").alias("side"), F.lit("holdout").alias("split"), "source_name", sha_key(F.col("imagesha256")).alias("sha"), hash64(F.col("phash")).alias("phash")
     )
     return own.unionByName(held).where(F.col("image_id").isNotNull()).distinct()
 
 
-def _block(hash_value: Column, i: int) -> Column:
-    return F.shiftrightunsigned(hash_value, 16 * i).bitwiseAND(0xFFFF)
+#: Blocks of a hash by their first bit, and their end.
+_EDGES = (0, 12, 25, 38, 51, 64)
+_PAIRS = tuple(combinations(range(5), 2))
+#: Cosine of hashes that agree in three blocks, hence in three of the ten pairs.
+LEAST_COSINE = 0.3
 
 
-def _bits(value: Column, start: int, n: int) -> Column:
-    return F.shiftrightunsigned(value, start).bitwiseAND((1 << n) - 1)
+def _block(h: Column, i: int) -> Column:
+    return F.shiftrightunsigned(h, _EDGES[i]).bitwiseAND((1 << (_EDGES[i + 1] - _EDGES[i])) - 1)
 
 
 def phash_terms(h: Column) -> Column:
-    """Six terms; the parts of a term are three pieces of its two other blocks, one of which at least is equal for near hashes."""
+    """Ten terms; the parts of a term are its three other blocks, one of which at least is equal for near hashes."""
     terms = []
-    for n, (i, j) in enumerate(combinations(range(4), 2)):
-        k, m = (x for x in range(4) if x not in (i, j))
-        rest = F.shiftleft(_block(h, k), 16).bitwiseOR(_block(h, m))
-        parts = [F.lit(p << 32).cast("bigint") + _bits(rest, start, width) for p, (start, width) in enumerate(((0, 11), (11, 11), (22, 10)))]
-        term = F.xxhash64(F.lit(n), _block(h, i), _block(h, j))
-        terms.append(F.struct(term.alias("term"), F.lit(6**-0.5).alias("weight"), F.array(*parts).alias("parts")))
+    for n, (i, j) in enumerate(_PAIRS):
+        # Pair and bits in one number: the pairs are told apart by the bits above.
+        term = F.lit(n << 26).cast("bigint") + F.shiftleft(_block(h, i), 13) + _block(h, j)
+        parts = [F.lit(k << 13).cast("bigint") + _block(h, k) for k in range(5) if k not in (i, j)]
+        terms.append(F.struct(term.alias("term"), F.lit(len(_PAIRS) ** -0.5).alias("weight"), F.array(*parts).alias("parts")))
     return F.array(*terms).cast(_TERM)
 
 
@@ -78,7 +82,7 @@ def key_pairs(rows: DataFrame, max_bits: int = 2) -> DataFrame:
     if not 0 <= max_bits <= 2:
         raise ValueError("the terms guarantee hashes within 2 bits only")
     train, evaluation = rows.where(F.col("side") == "train"), rows.where(F.col("side") == "evaluation")
-    met = cosine_join(vectors(train), vectors(evaluation), 1 / 6)
+    met = cosine_join(vectors(train), vectors(evaluation), LEAST_COSINE)
     near = F.col("left_key").startswith("p") & F.col("right_key").startswith("p")
     number = lambda c: F.substring(c, 2, 32).cast("bigint")
     bits = F.when(near, hamming(number("left_key"), number("right_key")))
