@@ -80,4 +80,8 @@ def test_pixels(spark):
     regions = spark.sql("select array(named_struct('id', 1, 'area', 5.0), named_struct('id', 2, 'area', 9.0), named_struct('id', 3, 'area', 5.0), named_struct('id', 4, 'area', 1.0)) r")
     assert [x.id for x in regions.select(motion.motion_regions(F.col("r"), F.lit(2.0)).alias("r")).first().r] == [2, 1, 3]
     cells = spark.createDataFrame([(1, *c) for c in [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1), (1, 1)]], "s int, y int, x int")
-    assert {(r.y, r.x): r.level for r in motion.heatmap(cells, ["s"]).collect()} == {(0, 0): 255, (0, 1): 127, (1, 1): 0}
+    levels = lambda df, h, w: {(r.y, r.x): r.level for r in motion.heatmap(df, ["s"], h, w).collect()}
+    # One cell was never set, so 0 is the least; a full grid scales from its own least; equal cells are 0.
+    assert levels(cells, 2, 2) == {(0, 0): 255, (0, 1): 170, (1, 1): 85}
+    assert levels(cells.where("y = 0"), 1, 2) == {(0, 0): 255, (0, 1): 0}
+    assert levels(cells.where("y = 1"), 2, 2) == {(1, 1): 255} and levels(cells.distinct().where("y = 0"), 1, 2) == {(0, 0): 0, (0, 1): 0}

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trailmark.operators import evaluation, matching
@@ -27,7 +29,8 @@ def test_fixture_pairs(spark):
     gt, pred = tables(spark)
     for column, cand in ((2, matching.center_candidates(gt, pred, ["image"])), (3, matching.iou_candidates(gt, pred, ["image"], 0.5))):
         pairs = matching.match_pairs(cand, ["image"]).collect()
-        counts = {r.image: r.matched for r in matching.match_counts(cand, ["image"]).collect()}
+        counted = matching.count_matches(gt, gt, pred, ["image"], [matching.Rule() if column == 2 else matching.Rule(0.5)])
+        counts = {r.image: r.matched[0] for r in counted.collect()}
         for name, case in CASES.items():
             if case[column] is not None:
                 assert sorted((r.pred_id, r.gt_id) for r in pairs if r.image == name) == sorted(case[column]), name
@@ -45,7 +48,7 @@ def brute(edges):
     return best(0, frozenset())
 
 
-def test_random_graphs_against_brute_force(spark):
+def test_random_graphs_against_brute_force(spark, monkeypatch):
     random.seed(3)
     rows, want = [], {}
     for k in range(150):
@@ -55,13 +58,32 @@ def test_random_graphs_against_brute_force(spark):
         assert len(matching.augmenting_match(edges)) == want[k]
         rows += [(k, p, g, r) for r, p, g in edges]
     df = spark.createDataFrame(rows, "k int, pred_id int, gt_id int, rank int")
-    assert {r.k: r.matched for r in matching.match_counts(df, ["k"]).collect()} == want
-
-
-def test_many_predictions_take_the_other_way(spark):
-    n = matching.MASK_PREDICTIONS + 5
-    df = spark.createDataFrame([(1, p, p // 2, p) for p in range(n)], "k int, pred_id int, gt_id int, rank int")
-    assert matching.match_counts(df, ["k"]).first().matched == (n + 1) // 2
+    pairs = matching.match_pairs(df, ["k"]).groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in pairs} == want
+    for most in (matching.MASK_PREDICTIONS, 2):
+        monkeypatch.setattr(matching, "MASK_PREDICTIONS", most)
+        edges = np.array(sorted({(k, k * 10 + p, k * 10 + g) for k, p, g, _ in rows}))
+        assert matching.matching_sizes(*edges.T, len(want)).tolist() == [want[k] for k in range(len(want))]
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 7])
+def test_crowded_images_in_slices(spark, monkeypatch, pairs):
+    monkeypatch.setattr(matching, "_PAIRS_AT_ONCE", pairs)
+    n = 70  # more boxes than a mask has bits
+    truth = spark.createDataFrame([("a", i, 10.0 * i, 0.0, 10.0 * i + 8, 8.0) for i in range(n)], G)
+    pred = spark.createDataFrame([("a", i, 10.0 * (i // 2), 0.0, 10.0 * (i // 2) + 8, 8.0, 0.5 + 0.4 * (i % 2)) for i in range(n)] + [("b", 0, 0.0, 0.0, 1.0, 1.0, 0.5)], P)
+    images = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "image string")
+    rules = [matching.Rule(), matching.Rule(0.9), matching.Rule(0.9, 0.6)]
+    got = {r.image: (r.gt_count, r.prediction_count, r.matched) for r in matching.count_matches(images, truth, pred, ["image"], rules).collect()}
+    assert got == {"a": (n, n, [35, 35, 35]), "b": (0, 1, [0, 0, 0]), "c": (0, 0, [0, 0, 0]), None: (0, 0, [0, 0, 0])}
+    assert matching.count_matches(images.limit(0), truth.limit(0), pred.limit(0), ["image"], rules).count() == 0
+
+
+def test_suppression(spark):
+    boxes = [("a", 0, 0.0, 0.0, 10.0, 10.0, 0.9), ("a", 1, 1.0, 0.0, 11.0, 10.0, 0.8), ("a", 2, 2.0, 0.0, 12.0, 10.0, 0.7), ("b", 0, 0.0, 0.0, 0.0, 0.0, 0.9), ("b", 1, 0.0, 0.0, 0.0, 0.0, 0.9)]
+    df = spark.createDataFrame(boxes, P)
+    kept = lambda o: sorted((r.image, r.pred_id) for r in evaluation.suppress(df, ["image"], o).collect())
+    assert kept(0.5) == [("a", 0), ("b", 0), ("b", 1)] and kept(0.7) == [("a", 0), ("a", 2), ("b", 0), ("b", 1)] and len(kept(0.9)) == 5
 
 
 def test_density_groups(spark):

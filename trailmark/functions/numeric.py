@@ -21,8 +21,11 @@ def integer_value(c: Column) -> Column:
 def float_value(c: Column) -> Column:
     """Double of a text incl. ``nan`` and ``inf``; null if it is no number. Java's suffixes (``1d``) are refused."""
     low = F.lower(c)
+    # What the cast accepts is right but for its suffixes and hexadecimal forms; the pattern is for what it refuses.
+    plain = F.right(c, F.lit(1)).between("0", "9") & ~F.contains(low, F.lit("x"))
     return (
-        F.when(c.rlike(_FLOAT), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
+        F.when(plain & c.try_cast("double").isNotNull() & ~F.contains(c, F.lit(" ")), c.try_cast("double"))
+        .when(c.rlike(_FLOAT), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
         .when(low.rlike("^[+-]?nan$"), F.lit(float("nan")))
         .when(low.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf")))
         .when(low.rlike("^-inf(inity)?$"), F.lit(float("-inf")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from trailmark.functions.hashing import hamming
 from trailmark.session import materialize
 
 UNKNOWN_MODEL = "CUSTOM / UNREGISTERED"
+#: Cost of writing a join key against that of comparing a pair.
+KEY_COST = 10.0
 
 
 def content_sha(content: Column) -> Column:
@@ -40,32 +45,57 @@ def leakage(selected: DataFrame, reference: DataFrame, sha: str, group: str) ->
     return groups.join(own, sha, "left").groupBy(group).agg(F.count("*").alias("hashes"), F.count("__hit").alias("leaked"))
 
 
+def _blocks(n: int, max_bits: int, bits: int) -> tuple[int, int]:
+    """(blocks, how many of them a key has) of least expected cost for ``n`` hashes: keys to write and rows to compare."""
+    def cost(equal: int) -> float:
+        blocks = max_bits + equal
+        return comb(blocks, equal) * (KEY_COST + n / 2 ** (bits * equal / blocks))
+
+    equal = min(range(1, 5), key=cost)
+    return max_bits + equal, equal
+
+
 def hamming_pairs(hashes: DataFrame, key: str, max_bits: int, bits: int = 64) -> DataFrame:
     """Pairs of distinct hash values within ``max_bits``: (hash_a, hash_b, distance).
 
-    Values are cut into ``max_bits`` + 1 bands, one of which is equal in any such pair; the band is the join
-    key and the distance is part of the join, so nothing else leaves it. A pair comes out in its first equal
-    band only, which saves a distinct. Works on distinct values: copies don't multiply.
+    Values are cut into ``max_bits`` + r blocks, of which at least r are equal in any such pair; every choice of r
+    blocks is a join key, r growing with the number of values so that lists stay short. The distance is part of the
+    join, so nothing else leaves it. A pair comes out under its first r equal blocks only, which saves a distinct.
+    Works on distinct values: copies don't multiply.
     """
-    n = max_bits + 1
-    edges = [bits * i // n for i in range(n + 1)]
-    value = hashes.where(F.col(key).isNotNull()).select(F.col(key).alias("h")).distinct()
+    value = materialize(hashes.where(F.col(key).isNotNull()).select(F.col(key).alias("h")).distinct(), "values")
+    m, equal = _blocks(value.count(), max_bits, bits)
+    edges = [bits * i // m for i in range(m + 1)]
 
-    def band(h: Column, i: int) -> Column:
+    def block(h: Column, i: int) -> Column:
         width = edges[i + 1] - edges[i]
         return F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1).cast("bigint"))
 
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), band(F.col("h"), i).alias("v")) for i in range(n)])
-    keyed = materialize(value.select("h", F.explode(bands).alias("b")).select("h", "b.i", "b.v"), "bands")
+    h = F.col("h")
+    choices = list(combinations(range(m), equal))
+    keys = F.array(*[F.struct(F.lit(c).alias("i"), F.xxhash64(*[block(h, i) for i in chosen]).alias("v")) for c, chosen in enumerate(choices)])
+    keyed = value.select("h", F.explode(keys).alias("b")).select("h", "b.i", "b.v")
     a, b = keyed.select(F.col("h").alias("hash_a"), "i", "v"), keyed.select(F.col("h").alias("hash_b"), "i", "v")
-    earlier = F.lit(False)
-    for i in range(n - 1):
-        earlier = earlier | ((F.col("i") > i) & (band(F.col("hash_a"), i) == band(F.col("hash_b"), i)))
+    same = F.lit(0)
+    for i in range(m):
+        same = same.bitwiseOR(F.when(block(F.col("hash_a"), i) == block(F.col("hash_b"), i), F.lit(1 << i)).otherwise(F.lit(0)))
+    # The first r equal blocks are the key's: up to its last block nothing else is equal.
+    masks = F.array(*[F.lit(sum(1 << i for i in chosen)) for chosen in choices])
+    upto = F.array(*[F.lit((2 << chosen[-1]) - 1) for chosen in choices])
+    first = same.bitwiseAND(F.get(upto, F.col("i"))) == F.get(masks, F.col("i"))
     distance = hamming(F.col("hash_a"), F.col("hash_b"))
-    met = a.join(b, ["i", "v"]).where((F.col("hash_a") < F.col("hash_b")) & (distance <= max_bits) & ~earlier)
+    met = a.join(b, ["i", "v"]).where((F.col("hash_a") < F.col("hash_b")) & (distance <= max_bits)).where(first)
     return met.select("hash_a", "hash_b", distance.cast("int").alias("distance"))
 
 
+def families(members: DataFrame, family: str, item: str, hash_: str) -> DataFrame:
+    """(family, representative, item, distance) of each member of a family, its representative being the least item with
+    a hash; members without a hash have no distance."""
+    first = members.where(F.col(hash_).isNotNull()).groupBy(family).agg(F.min_by(F.struct(F.col(item).alias("r"), F.col(hash_).alias("h")), F.col(item)).alias("__f"))
+    joined = members.join(first, family, "left")
+    return joined.select(family, F.col("__f.r").alias("representative"), item, hamming(F.col(hash_), F.col("__f.h")).alias("distance"))
+
+
 def set_hash(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One SHA-256 over the sorted distinct values of each key and their number."""
     values = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("__v"))
@@ -76,3 +106,13 @@ def split_overlap(rows: DataFrame, split: str, name: str) -> DataFrame:
     """Names that stand in more than one split: (name, splits)."""
     groups = rows.where(F.col(name).isNotNull() & F.col(split).isNotNull()).groupBy(name).agg(F.sort_array(F.collect_set(split)).alias("__s"))
     return groups.where(F.size("__s") > 1).select(name, F.array_join("__s", ",").alias("splits"))
+
+
+def path_report(rows: DataFrame, split: str, path: str, source: str, forbidden: list[str]) -> DataFrame:
+    """(finding, value, splits, copies): names in several splits, relative paths that stand twice in a split, and rows of
+    forbidden sources. Empty where a dataset leaks nothing."""
+    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    names = split_overlap(rows.withColumn("__name", name), split, "__name").select(F.lit("name in several splits").alias("finding"), F.col("__name").alias("value"), "splits", F.lit(None).cast("bigint").alias("copies"))
+    twice = rows.where(F.col(path).isNotNull()).groupBy(F.col(split).alias("splits"), F.col(path).alias("value")).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+    found = rows.where(F.col(source).isin(forbidden)).groupBy(F.col(source).alias("value"), F.col(split).alias("splits")).agg(F.count("*").alias("copies"))
+    return names.unionByName(twice.select(F.lit("path stands twice").alias("finding"), "value", "splits", "copies")).unionByName(found.select(F.lit("forbidden source").alias("finding"), "value", "splits", "copies"))

@@ -56,6 +56,51 @@ def box_error(class_id: Column, box: dict[str, Column], image_w: Column, image_h
     return first_error(*rules)
 
 
+def _with_polygons(rows: DataFrame, n: Column, w: Column, h: Column) -> DataFrame:
+    """Add a polygon's hull to ``__b``, its first point error and its area; other lines make no arrays here."""
+    good = (n % 2 == 1) & (n >= 7) & F.col("__numeric")
+    at = F.when(good, F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int") - 1))
+    xs, ys = F.transform(at, lambda i: F.get("__v", i * 2)), F.transform(at, lambda i: F.get("__v", i * 2 + 1))
+    rows = fixed_columns(rows, {"__x": xs, "__y": ys})
+    reach_x, reach_y = (F.coalesce(F.lit(PIXEL_TOLERANCE) / d, F.lit(BOUNDS_TOLERANCE)) for d in (w, h))
+    out = lambda v, r: ~is_finite(v) | (v < -r) | (v > 1.0 + r)
+
+    def point_error(x: Column, y: Column, i: Column) -> Column:
+        name = lambda axis, text: F.format_string(POINT.format(axis, text), i + 1)
+        return first_error(
+            (~is_finite(x), name("x", FINITE)), (~is_finite(y), name("y", FINITE)), (out(x, reach_x), name("x", NORMALIZED)), (out(y, reach_y), name("y", NORMALIZED))
+        )
+
+    low_x, high_x, low_y, high_y = F.array_min("__x"), F.array_max("__x"), F.array_min("__y"), F.array_max("__y")
+    hull = F.struct(
+        ((low_x + high_x) / 2).alias("x_center"), ((low_y + high_y) / 2).alias("y_center"), (high_x - low_x).alias("width"), (high_y - low_y).alias("height")
+    )
+    # The extremes tell whether any point is out (NaN counts as largest); only then is the first one looked for.
+    some_bad = out(low_x, reach_x) | out(high_x, reach_x) | out(low_y, reach_y) | out(high_y, reach_y)
+    each = F.transform("__x", lambda x, i: F.struct(x.alias("x"), F.get("__y", i).alias("y"), i.alias("i")))
+    first = F.get(F.filter(each, lambda p: out(p.x, reach_x) | out(p.y, reach_y)), F.lit(0))
+    rows = fixed_columns(rows, {"__first": F.when(some_bad, first), "__hull": F.when(good, hull), "__area": F.when(good, F.abs(shoelace(F.col("__x"), F.col("__y"))))})
+    point = F.when(F.col("__first").isNotNull(), point_error(F.col("__first.x"), F.col("__first.y"), F.col("__first.i")))
+    return fixed_columns(rows, {"__point": point, "__b": F.coalesce("__b", "__hull")})
+
+
+def _polygon_error(class_id: Column, n: Column, w: Column, h: Column) -> Column:
+    return F.coalesce(
+        first_error(
+            (~F.col("__int"), NOT_INTEGER),
+            (class_id != 0, NOT_ZERO),
+            (n % 2 == 0, ODD),
+            (n < 7, FEW_POINTS),
+            (~F.col("__numeric"), NOT_NUMERIC),
+            (w.isNull() != h.isNull(), ONE_DIMENSION),
+            ((w <= 0) | (h <= 0), BAD_DIMENSION),
+        ),
+        F.col("__point"),
+        first_error((F.col("__area") <= AREA_TOLERANCE, DEGENERATE)),
+        box_error(class_id, {k: F.col(f"__b.{k}") for k in FIELDS}, w, h),
+    )
+
+
 def parse_labels(lines: DataFrame, polygons: bool = True, line: str = "line", image_w: str | None = None, image_h: str | None = None) -> DataFrame:
     """Add ``format``, ``class_id``, the box fields and ``error`` to label lines; blank and null lines are left out.
 
@@ -73,37 +118,11 @@ def parse_labels(lines: DataFrame, polygons: bool = True, line: str = "line", im
     class_id = F.coalesce("__class", F.when(F.col("__int"), F.lit(-1)))  # beyond 64 bits: an integer, not 0
     is_box = n == 5
     numeric = ~F.exists("__v", lambda v: v.isNull())
-    pairs = F.floor((n - 1) / 2).cast("int")
-    at = F.when(~is_box & (pairs > 0), F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
-    xs, ys = F.transform(at, lambda i: F.get("__v", i * 2)), F.transform(at, lambda i: F.get("__v", i * 2 + 1))
-    rows = fixed_columns(rows, {"__x": xs, "__y": ys, "__numeric": numeric})
-    numeric = F.col("__numeric")
-    reach_x, reach_y = (F.coalesce(F.lit(PIXEL_TOLERANCE) / d, F.lit(BOUNDS_TOLERANCE)) for d in (w, h))
-    out = lambda v, r: (v < -r) | (v > 1.0 + r)
-
-    def point_error(x: Column, i: Column) -> Column:
-        y, name = F.get("__y", i), lambda axis, text: F.format_string(POINT.format(axis, text), i + 1)
-        return first_error(
-            (~is_finite(x), name("x", FINITE)),
-            (~is_finite(y), name("y", FINITE)),
-            (out(x, reach_x), name("x", NORMALIZED)),
-            (out(y, reach_y), name("y", NORMALIZED)),
-        )
-
-    good_polygon = ~is_box & (n % 2 == 1) & (n >= 7) & numeric
-    low_x, high_x, low_y, high_y = F.array_min("__x"), F.array_max("__x"), F.array_min("__y"), F.array_max("__y")
-    hull = F.struct(
-        ((low_x + high_x) / 2).alias("x_center"), ((low_y + high_y) / 2).alias("y_center"), (high_x - low_x).alias("width"), (high_y - low_y).alias("height")
-    )
     own = F.struct(*[F.get("__v", F.lit(i)).alias(name) for i, name in enumerate(FIELDS)])
-    rows = fixed_columns(
-        rows,
-        {
-            "__point": F.when(good_polygon, F.get(F.filter(F.transform("__x", point_error), lambda e: e.isNotNull()), F.lit(0))),
-            "__b": F.when(is_box, own).when(good_polygon, hull),
-            "__area": F.when(good_polygon, F.abs(shoelace(F.col("__x"), F.col("__y")))),
-        },
-    )
+    rows = fixed_columns(rows, {"__numeric": numeric, "__b": F.when(is_box, own)})
+    numeric = F.col("__numeric")
+    if polygons:
+        rows = _with_polygons(rows, n, w, h)
 
     detection = F.coalesce(
         first_error(
@@ -113,22 +132,11 @@ def parse_labels(lines: DataFrame, polygons: bool = True, line: str = "line", im
         ),
         box_error(class_id, {k: F.col(f"__b.{k}") for k in FIELDS}, w, h),
     )
-    polygon = F.coalesce(
-        first_error(
-            (~F.col("__int"), NOT_INTEGER),
-            (class_id != 0, NOT_ZERO),
-            (n % 2 == 0, ODD),
-            (n < 7, FEW_POINTS),
-            (~numeric, NOT_NUMERIC),
-            (w.isNull() != h.isNull(), ONE_DIMENSION),
-            ((w <= 0) | (h <= 0), BAD_DIMENSION),
-        ),
-        F.col("__point"),
-        first_error((F.col("__area") <= AREA_TOLERANCE, DEGENERATE)),
-        box_error(class_id, {k: F.col(f"__b.{k}") for k in FIELDS}, w, h),
-    )
-    kind = F.when(is_box | F.lit(not polygons), "detection").otherwise("segmentation")
-    rows = fixed_columns(rows, {"format": kind, "error": F.when(kind == "detection", detection).otherwise(polygon)})
+    kind, error = F.lit("detection"), detection
+    if polygons:
+        kind = F.when(is_box, "detection").otherwise("segmentation")
+        error = F.when(is_box, detection).otherwise(_polygon_error(class_id, n, w, h))
+    rows = fixed_columns(rows, {"format": kind, "error": error})
     fields = [F.when(F.col("error").isNull(), F.col(f"__b.{k}")).alias(k) for k in FIELDS]
     taken = {"format", "error", "class_id", *FIELDS}
     keep = [c for c in lines.columns if c not in taken]

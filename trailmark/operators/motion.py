@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.numeric import half_even
+from trailmark.operators.ranking import null_safe_join
 
 
 def with_warmup(frames: DataFrame, warmup: int, frame: str = "frame_index") -> DataFrame:
@@ -52,14 +53,23 @@ def to_global(x: Column, y: Column, w: Column, h: Column, roi_x: Column, roi_y:
     return F.struct(half_even(x + roi_x).alias("x"), half_even(y + roi_y).alias("y"), half_even(w).alias("width"), half_even(h).alias("height"))
 
 
-def heatmap(cells: DataFrame, keys: list[str], y: str = "y", x: str = "x") -> DataFrame:
-    """Times each cell was set and its level from 0 to 255, scaled between the stream's least and most.
+def heatmap(cells: DataFrame, keys: list[str], height: int, width: int, y: str = "y", x: str = "x") -> DataFrame:
+    """Times each cell of a grid of ``height`` x ``width`` was set and its level from 0 to 255, of cells that were.
 
-    ``cells`` has a row per set cell and frame. Cells never set count as 0 where any cell of the stream's
-    grid is missing, so the least is 0 then; pass full grids with a count of 0 to scale otherwise.
+    ``cells`` has a row per set cell and frame. Levels are scaled between the least and the most of the whole grid,
+    where cells never set count 0, and cut to whole numbers; a grid of equal cells is 0 everywhere. Cells outside the
+    grid are left out.
     """
-    counts = cells.groupBy(*keys, y, x).agg(F.count("*").alias("hits"))
-    ends = counts.groupBy(*keys).agg(F.min("hits").alias("__low"), F.max("hits").alias("__high"))
-    joined = counts.join(ends, keys)
-    level = F.when(F.col("__high") > F.col("__low"), F.floor((F.col("hits") - F.col("__low")) * 255 / (F.col("__high") - F.col("__low")))).otherwise(F.when(F.col("__high") > 0, 255).otherwise(0))
-    return joined.withColumn("level", level.cast("int")).drop("__low", "__high")
+    inside = F.col(y).between(0, height - 1) & F.col(x).between(0, width - 1)
+    counts = cells.where(inside).groupBy(*keys, y, x).agg(F.count("*").alias("hits"))
+    ends = counts.groupBy(*keys).agg(F.min("hits").alias("__least"), F.max("hits").alias("__high"), F.count("*").alias("__set"))
+    ends = ends.withColumn("__low", F.when(F.col("__set") < height * width, F.lit(0)).otherwise(F.col("__least")))
+    joined = null_safe_join(counts, ends, keys)
+    scaled = ((F.col("hits") - F.col("__low")) * 255 / (F.col("__high") - F.col("__low"))).cast("float")
+    level = F.when(F.col("__high") > F.col("__low"), F.floor(scaled)).otherwise(F.lit(0))
+    return joined.withColumn("level", level.cast("int")).drop("__least", "__low", "__high", "__set")
+
+
+def place_in_frame(mask: DataFrame, x: str = "x", y: str = "y", roi_x: int = 0, roi_y: int = 0) -> DataFrame:
+    """Set cells of a mask over a region of interest, at their places in the whole frame."""
+    return mask.withColumn(x, F.col(x) + roi_x).withColumn(y, F.col(y) + roi_y)

@@ -36,6 +36,47 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return joined.withColumn(out, F.col("__in") + F.col("__before")).select(*[c for c in df.columns if c != out], out)
 
 
+def null_safe_join(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Join ``rows`` to ``lookup`` (one row per key), null keys being equal to each other."""
+    if not keys:
+        one = lookup.first()  # the single row of a whole table
+        return rows.withColumns({c: F.lit(one[c] if one else None).cast(lookup.schema[c].dataType) for c in lookup.columns})
+    renamed = lookup.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], *[c for c in lookup.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__r{i}"))
+    return rows.join(renamed, same).drop(*[f"__r{i}" for i in range(len(keys))])
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(keys, a column per name of ``wanted``: the percentile of a column, linear between neighbouring ranks).
+
+    Values are ranked over range partitions, so that a group of any size spans many tasks; only the two rows
+    beside each percentile are aggregated. Nulls don't count; a group without values has a null.
+    """
+    columns = sorted({c for c, _ in wanted.values()})
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("__m"), F.col(c).cast("double").alias("__value")) for c in columns]))
+    values = df.select(*keys, each.alias("__e")).select(*keys, "__e.*").where(F.col("__value").isNotNull())
+    ranked = exact_rank(values, [*keys, "__m"], ["__value"], "__i")
+    ranked = materialize(ranked, "ranked")
+    sizes = ranked.groupBy(*keys, "__m").agg(F.max("__i").alias("__n"))
+    rows = null_safe_join(ranked, sizes, [*keys, "__m"])
+    place = lambda p: F.lit(p) * (F.col("__n") - 1)
+    near = lambda p: (F.col("__i") - 1 == F.floor(place(p))) | (F.col("__i") - 1 == F.ceil(place(p)))
+    some = F.lit(False)
+    for p in {p for _, p in wanted.values()}:
+        some = some | near(p)
+    kept = rows.where(some)
+
+    def value(column: str, p: float) -> Column:
+        own = (F.col("__m") == column) & near(p)
+        low, high = F.min(F.when(own, F.col("__value"))), F.max(F.when(own, F.col("__value")))
+        part = F.max(F.when(own, place(p) - F.floor(place(p))))
+        return low * (1 - part) + high * part
+
+    return kept.groupBy(*keys).agg(*[value(c, p).alias(name) for name, (c, p) in wanted.items()])
+
+
 def exact_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
     """Rank from 1 within ``keys`` by ``order``; the order must be total for a repeatable result."""
     return prefix_sum(df, keys, order, F.lit(1), out)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.ranking import exact_percentiles, null_safe_join
+
 
 def split_statistics(images: DataFrame, boxes: DataFrame, split: str, image: str) -> DataFrame:
     """Per split: images, annotations, images without one, and average, least and most per image.
@@ -25,22 +27,16 @@ def split_statistics(images: DataFrame, boxes: DataFrame, split: str, image: str
 
 def size_percentiles(boxes: DataFrame, keys: list[str], width: str = "width", height: str = "height") -> DataFrame:
     """Exact medians of width, height and area and the area's 25th and 75th percentile (linear between ranks)."""
-    area = F.col(width) * F.col(height)
-    return boxes.groupBy(*keys).agg(
-        F.percentile(width, F.lit(0.5)).alias("median_width"),
-        F.percentile(height, F.lit(0.5)).alias("median_height"),
-        F.percentile(area, F.lit(0.5)).alias("median_area"),
-        F.percentile(area, F.lit(0.25)).alias("p25_area"),
-        F.percentile(area, F.lit(0.75)).alias("p75_area"),
-    )
+    rows = boxes.select(*keys, F.col(width).alias("__w"), F.col(height).alias("__h"), (F.col(width) * F.col(height)).alias("__a"))
+    wanted = {"median_width": ("__w", 0.5), "median_height": ("__h", 0.5), "median_area": ("__a", 0.5), "p25_area": ("__a", 0.25), "p75_area": ("__a", 0.75)}
+    return exact_percentiles(rows, keys, wanted)
 
 
 def scale_summary(boxes: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, extremes, mean and percentiles of one measure."""
     ranks = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    return boxes.groupBy(*keys).agg(
-        F.count(value).alias("boxes"), F.min(value).alias("least"), *[F.percentile(value, F.lit(p)).alias(n) for n, p in ranks.items()], F.max(value).alias("most"), F.avg(value).alias("mean")
-    )
+    plain = boxes.groupBy(*keys).agg(F.count(value).alias("boxes"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    return null_safe_join(plain, exact_percentiles(boxes.select(*keys, value), keys, {n: (value, p) for n, p in ranks.items()}), keys)
 
 
 def class_audit(boxes: DataFrame, class_id: str = "class_id", image: str = "image_id") -> DataFrame:
@@ -49,5 +45,17 @@ def class_audit(boxes: DataFrame, class_id: str = "class_id", image: str = "imag
 
 def density_by_source(boxes: DataFrame, source: str, image: str) -> DataFrame:
     """Objects per image of each source: images, mean, median and most."""
-    per = boxes.groupBy(source, image).agg(F.count("*").alias("n"))
-    return per.groupBy(source).agg(F.count("*").alias("images"), F.avg("n").alias("mean_objects"), F.percentile("n", F.lit(0.5)).alias("median_objects"), F.max("n").alias("most_objects"))
+    # A picture's count is a small number, so the counts of counts are few whatever the images.
+    per = boxes.groupBy(source, image).agg(F.count("*").alias("n")).groupBy(source, "n").agg(F.count("*").alias("k"))
+    return per.groupBy(source).agg(
+        F.sum("k").alias("images"), (F.sum(F.col("n") * F.col("k")) / F.sum("k")).alias("mean_objects"), F.percentile("n", F.lit(0.5), F.col("k")).alias("median_objects"), F.max("n").alias("most_objects")
+    )
+
+
+def density_class(mean_objects: Column, limits: dict[str, float]) -> Column:
+    """Name of the first limit (by rising value) that the mean stays below, the last name beyond all."""
+    ordered = sorted(limits.items(), key=lambda x: x[1])
+    out = F.lit(ordered[-1][0])
+    for name, limit in reversed(ordered[:-1]):
+        out = F.when(mean_objects < limit, name).otherwise(out)
+    return F.when(mean_objects.isNotNull(), out)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.numeric import half_even
+from trailmark.operators.ranking import exact_rank, null_safe_join
 
 #: Fixed value: frame number and time in the names of extracted frames.
 _NAME = r"_frame_(\d+)_t(\d+)[-.](\d+)"
@@ -86,10 +87,9 @@ def temporal_split(rows: DataFrame, stream: list[str], order: list[str], train_f
         raise ValueError("train_fraction must be between 0 and 1")
     if gap < 0:
         raise ValueError("gap must not be negative")
-    by = Window.partitionBy(*stream)
-    i = F.row_number().over(by.orderBy(*order)) - 1
-    n = F.count(F.lit(1)).over(by)
-    rows = rows.withColumn("__i", i).withColumn("__n", n)
+    # Ranks span partitions: a stream may have any number of rows.
+    ranked = exact_rank(rows, stream, order, "__i").withColumn("__i", F.col("__i") - 1)
+    rows = null_safe_join(ranked, rows.groupBy(*stream).agg(F.count("*").alias("__n")), stream)
     cut = F.greatest(F.lit(1), F.least(F.col("__n") - 1, half_even(F.col("__n") * F.lit(train_fraction))))
     g = F.when((F.lit(gap) > 0) & (F.col("__n") > 2), F.least(F.lit(gap).cast("bigint"), F.col("__n") - 2)).otherwise(F.lit(0).cast("bigint"))
     train_end = F.when(g > 0, F.greatest(F.lit(1), cut - F.floor(g / 2))).otherwise(cut)
@@ -98,6 +98,11 @@ def temporal_split(rows: DataFrame, stream: list[str], order: list[str], train_f
     return rows.withColumn("part", part).drop("__i", "__n")
 
 
+def duration_seconds(frames: Column, fps: Column) -> Column:
+    """frames / fps to 6 places where both are above 0, else 0."""
+    return F.when((frames > 0) & (fps > 0), F.round(frames / fps, 6)).otherwise(F.lit(0.0))
+
+
 def part_ranges(split: DataFrame, keys: list[str], frame: str, seconds: str) -> DataFrame:
     """First and last frame and time of each part."""
     pair = F.struct(seconds, frame)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmark.session import read_table
+from trailmark.session import read_table, spread
 
 _LINE_ORDER = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 #: Fixed values of the adapters: streams of events and sequences of images, and the size of tracked images.
@@ -45,7 +45,7 @@ def predictions(boxes: DataFrame) -> DataFrame:
 
 def polygons(spark: SparkSession, folder: str) -> DataFrame:
     """Polygon label lines (line_id, line) from line items; some with a broken rule."""
-    rows = read_table(spark, folder, "lineitem")
+    rows = spread(read_table(spark, folder, "lineitem"))
     part = lambda c: F.concat(F.lit("0."), F.lpad(c.cast("string"), 3, "0"))
     a, b, q = F.col("l_partkey") % 500, F.col("l_suppkey") % 500, F.col("l_quantity").cast("bigint")
     points = [part(a), part(b), part(a + q), part(b + 7), part(a + 3), part(b + q)]

@@ -11,7 +11,7 @@ from trailmark.functions.geometry import pixel_corners
 from trailmark.functions.hashing import hash64, name_key, sha_key, video_key
 from trailmark.operators import evaluation, identity, labels, matching, motion, statistics, temporal, tracking
 from trailmark.plans import adapters
-from trailmark.session import read_table, shared_folder
+from trailmark.session import read_table, shared_folder, spread
 from trailmark.streaming.motion import activity_windows, running_summary
 
 QUERIES: dict = {}
@@ -151,7 +151,7 @@ _LABELS = rf"""tokens AS (SELECT *, regexp_split_to_array(regexp_replace(line, '
 
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return labels.parse_labels(read_table(spark, folder, "label_lines"), polygons=False)
+    return labels.parse_labels(spread(read_table(spark, folder, "label_lines")), polygons=False)
 
 
 @query(
@@ -287,13 +287,13 @@ _MOT = rf"""parts AS (SELECT *, list_transform(string_split(regexp_replace(line,
 
 
 def _tracks(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = tracking.parse_ground_truth(read_table(spark, folder, "gt_lines"))
+    parsed = tracking.parse_ground_truth(spread(read_table(spark, folder, "gt_lines")))
     return parsed.where(F.col("error").isNull())
 
 
 @query(f"WITH {_MOT} SELECT line_id, error, " + ", ".join(f"CASE WHEN error IS NULL THEN v_{n}{'::BIGINT' if n in ('frame', 'track_id', 'flag') else ''} END AS {n}" for n in _GT_NAMES) + " FROM judged")
 def mot_parse(spark: SparkSession, folder: str) -> DataFrame:
-    return tracking.parse_ground_truth(read_table(spark, folder, "gt_lines")).select("line_id", "error", *_GT_NAMES)
+    return tracking.parse_ground_truth(spread(read_table(spark, folder, "gt_lines"))).select("line_id", "error", *_GT_NAMES)
 
 
 @query(f"WITH {_MOT} SELECT sequence_name, frame, track_id, count(*) AS copies FROM good GROUP BY ALL HAVING count(*) > 1")
@@ -320,22 +320,27 @@ def sequence_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_MOT}, last AS (SELECT sequence_name, max(frame) AS n FROM good GROUP BY sequence_name), f AS (SELECT sequence_name, unnest(range(1, n + 1)) AS frame FROM last)
-    SELECT sequence_name, frame FROM f EXCEPT SELECT sequence_name, frame FROM good"""
+    f"""WITH {_MOT}, own AS (SELECT DISTINCT track_id % 97 AS track, frame FROM good),
+    last AS (SELECT track, max(frame) AS n FROM own GROUP BY track), f AS (SELECT track, unnest(range(1, n + 1)) AS frame FROM last)
+    SELECT f.track, f.frame FROM f WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.track = f.track AND own.frame = f.frame)"""
 )
 def frame_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return tracking.frame_gaps(_tracks(spark, folder), "sequence_name")
+    """Frames without a row of each group of tracks: whole sequences have a row in every frame, groups of tracks don't."""
+    rows = _tracks(spark, folder).withColumn("track", F.col("track_id") % 97)
+    return tracking.frame_gaps(rows, "track")
 
 
 @query(
     f"""WITH {_MOT}, c AS (SELECT sequence_name, floor((x + width / 2) / 40)::BIGINT AS x, floor((y + height / 2) / 40)::BIGINT AS y, count(*) AS hits FROM good GROUP BY ALL),
-    e AS (SELECT sequence_name, min(hits) AS low, max(hits) AS high FROM c GROUP BY ALL)
-    SELECT sequence_name, y, x, hits, CASE WHEN high > low THEN floor((hits - low) * 255 / (high - low))::INT WHEN high > 0 THEN 255 ELSE 0 END AS level FROM c JOIN e USING (sequence_name)"""
+    n AS (SELECT s.sequence_name, y, x FROM (SELECT DISTINCT sequence_name FROM good) s, range(27) r(y), range(48) q(x)),
+    g AS (SELECT sequence_name, y, x, coalesce(hits, 0) AS v FROM n LEFT JOIN c USING (sequence_name, y, x)),
+    e AS (SELECT *, min(v) OVER (PARTITION BY sequence_name) AS low, max(v) OVER (PARTITION BY sequence_name) AS high FROM g)
+    SELECT sequence_name, y, x, v AS hits, CASE WHEN high > low THEN floor(((v - low) * (255.0::DOUBLE / (high - low)))::FLOAT)::INT ELSE 0 END AS level FROM e WHERE v > 0"""
 )
 def heatmap_cells(spark: SparkSession, folder: str) -> DataFrame:
     t = _tracks(spark, folder)
     cells = t.select("sequence_name", F.floor((F.col("x") + F.col("width") / 2) / 40).alias("x"), F.floor((F.col("y") + F.col("height") / 2) / 40).alias("y"))
-    return motion.heatmap(cells, ["sequence_name"])
+    return motion.heatmap(cells, ["sequence_name"], adapters.IMAGE_H // 40, adapters.IMAGE_W // 40)
 
 
 # Statistics -----------------------------------------------------------------------------------------------------------
@@ -431,16 +436,22 @@ def iou_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return matching.iou_candidates(gt, pred, _KEYS, 0.3).select(*_KEYS, "pred_id", "gt_id", *r6("iou"), "rank")
 
 
+def _counts(gt: DataFrame, pred: DataFrame, rule: matching.Rule) -> DataFrame:
+    """Images with a match and the size of their matching."""
+    counted = matching.count_matches(gt, gt, pred, _KEYS, [rule])
+    return counted.select(*_KEYS, F.get("matched", F.lit(0)).alias("matched")).where(F.col("matched") > 0)
+
+
 @query(f"WITH {_ORDER_BOXES}, {_matched('mc', 'scored WHERE inside')} SELECT seq, image, matched FROM mc")
 def match_count_center(spark: SparkSession, folder: str) -> DataFrame:
     _, gt, pred = _sides(spark, folder)
-    return matching.match_counts(matching.center_candidates(gt, pred, _KEYS), _KEYS)
+    return _counts(gt, pred, matching.Rule())
 
 
 @query(f"WITH {_ORDER_BOXES}, {_matched('mi', 'scored WHERE iou >= 0.3')} SELECT seq, image, matched FROM mi")
 def match_count_iou(spark: SparkSession, folder: str) -> DataFrame:
     _, gt, pred = _sides(spark, folder)
-    return matching.match_counts(matching.iou_candidates(gt, pred, _KEYS, 0.3), _KEYS)
+    return _counts(gt, pred, matching.Rule(0.3))
 
 
 @query(f"WITH {_ORDER_BOXES}, {_matched('mi', 'scored WHERE iou >= 0.3')} SELECT sum(matched)::BIGINT AS pairs, count(*) AS images FROM mi")
@@ -452,6 +463,19 @@ def match_pair_totals(spark: SparkSession, folder: str) -> DataFrame:
     return one_to_one.agg(F.sum(F.least("n", "g", "p")).alias("pairs"), F.count("*").alias("images"))
 
 
+@query(
+    f"""WITH {_ORDER_BOXES}, c AS (SELECT seq, image, pred_id, gt_id FROM scored WHERE iou >= 0.3),
+    one AS (SELECT *, count(*) OVER (PARTITION BY seq, image, pred_id) AS a, count(*) OVER (PARTITION BY seq, image, gt_id) AS b FROM c),
+    plain AS (SELECT seq, image FROM one GROUP BY ALL HAVING max(a) = 1 AND max(b) = 1) SELECT seq, image, pred_id, gt_id FROM c JOIN plain USING (seq, image)"""
+)
+def match_pairs_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """Matched identities of images where no box has two candidates, so that there is one maximum matching only."""
+    _, gt, pred = _sides(spark, folder)
+    candidates = matching.iou_candidates(gt, pred, _KEYS, 0.3)
+    tied = candidates.groupBy(*_KEYS, "pred_id").count().where("count > 1").select(*_KEYS).union(candidates.groupBy(*_KEYS, "gt_id").count().where("count > 1").select(*_KEYS))
+    return matching.match_pairs(candidates, _KEYS).join(tied, _KEYS, "left_anti").select(*_KEYS, "pred_id", "gt_id")
+
+
 @query()
 def match_pairs(spark: SparkSession, folder: str) -> DataFrame:
     _, gt, pred = _sides(spark, folder)
@@ -550,7 +574,26 @@ def scale_terciles(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.scale_terciles(gt, ["seq"], area).groupBy("seq", "scale").agg(F.count("*").alias("boxes"))
 
 
-@query()
+_EXAMPLES = f"""WITH {_EVAL}, r AS (SELECT *, coalesce(center_matched / nullif(gt_count, 0), 0) AS recall, row_number() OVER (PARTITION BY seq ORDER BY image) - 1 AS o,
+      row_number() OVER (PARTITION BY seq ORDER BY gt_count, image) - 1 AS d, count(*) OVER (PARTITION BY seq) AS n FROM ev),
+    extremes AS (
+      SELECT seq, image, 0 AS turn FROM r QUALIFY row_number() OVER (PARTITION BY seq ORDER BY recall DESC, prediction_count - center_matched, o) = 1
+      UNION ALL SELECT seq, image, 1 FROM r QUALIFY row_number() OVER (PARTITION BY seq ORDER BY gt_count - center_matched DESC, gt_count DESC, o) = 1
+      UNION ALL SELECT seq, image, 2 FROM r QUALIFY row_number() OVER (PARTITION BY seq ORDER BY prediction_count - center_matched DESC, prediction_count DESC, o) = 1
+      UNION ALL SELECT seq, image, 3 FROM r QUALIFY row_number() OVER (PARTITION BY seq ORDER BY gt_count DESC, o) = 1
+      UNION ALL SELECT seq, image, 4 FROM r QUALIFY row_number() OVER (PARTITION BY seq ORDER BY gt_count, o) = 1
+      UNION ALL SELECT seq, image, 5 FROM r QUALIFY row_number() OVER (PARTITION BY seq ORDER BY center_matched - iou50_matched DESC, center_matched DESC, o) = 1
+      UNION ALL SELECT seq, image, 6 FROM r QUALIFY row_number() OVER (PARTITION BY seq ORDER BY gt_count DESC, gt_count - center_matched DESC, o) = 1),
+    middles AS (
+      SELECT seq, image, 7 AS turn FROM r WHERE n // 3 > 0 AND d = (n // 3) // 2
+      UNION ALL SELECT seq, image, 8 FROM r WHERE n * 2 // 3 > n // 3 AND d = n // 3 + (n * 2 // 3 - n // 3) // 2
+      UNION ALL SELECT seq, image, 9 FROM r WHERE d = n * 2 // 3 + (n - n * 2 // 3) // 2),
+    evenly AS (SELECT seq, image, 10 + k AS turn FROM r, range(10) t(k) WHERE o = CASE WHEN n <= 10 THEN k ELSE round_even(k * (n - 1) / 9, 0)::BIGINT END),
+    chosen AS (SELECT seq, image, min(turn) AS turn FROM (FROM extremes UNION ALL FROM middles UNION ALL FROM evenly) GROUP BY ALL)
+    SELECT seq, image, row_number() OVER (PARTITION BY seq ORDER BY turn) AS choice FROM chosen QUALIFY choice <= 10"""
+
+
+@query(_EXAMPLES)
 def example_frames(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.example_frames(_evaluated(spark, folder), ["seq"], "image")
 
@@ -562,8 +605,9 @@ def example_frames(spark: SparkSession, folder: str) -> DataFrame:
 def density_recall_correlation(spark: SparkSession, folder: str) -> DataFrame:
     """Correlation of truth count and recall change when only confident predictions are kept."""
     boxes, gt, pred = _sides(spark, folder)
-    sure = evaluation.frame_evaluation(boxes, gt, pred.where(F.col("confidence") >= 0.95), _KEYS, 0.3)
-    return _rounded(evaluation.density_correlation(_evaluated(spark, folder), sure, _KEYS), ["correlation"])
+    counted = matching.count_matches(boxes, gt, pred, _KEYS, [matching.Rule(0.3), matching.Rule(0.3, 0.95)])
+    every, sure = (counted.select(*_KEYS, "gt_count", F.get("matched", F.lit(i)).alias("iou50_matched")) for i in range(2))
+    return _rounded(evaluation.density_correlation(every, sure, _KEYS), ["correlation"])
 
 
 # Identity -------------------------------------------------------------------------------------------------------------
