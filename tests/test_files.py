@@ -18,7 +18,7 @@ def png(width=32, height=32):
 
 @pytest.fixture
 def dataset(tmp_path):
-    rows = {"train": {"train_001": "0 0.500000 0.500000 0.250000 0.250000\n", "train_002": ""}, "val": {"val_001": "0 0.400000 0.400000 0.200000 0.100000\n"}}
+    rows = {"train": {"one": "0 0.5 0.5 0.25 0.25\n", "two": ""}, "val": {"three": "0 0.4 0.4 0.2 0.1\n"}}
     for split, labels in rows.items():
         (tmp_path / "images" / split).mkdir(parents=True)
         (tmp_path / "labels" / split).mkdir(parents=True)
@@ -36,12 +36,12 @@ def test_dataset_statistics(spark, dataset):
 
 
 def test_missing_and_orphan_and_bad(spark, dataset):
-    (dataset / "labels/train/train_001.txt").unlink()
+    (dataset / "labels/train/one.txt").unlink()
     (dataset / "labels/val/other.txt").write_text("0 .5 .5 .1 .1\n")
-    (dataset / "labels/val/val_001.txt").write_text("0 .5 .5 .1 .1\n7 .5 .5 .1 .1\nx\n")
+    (dataset / "labels/val/three.txt").write_text("0 .5 .5 .1 .1\n7 .5 .5 .1 .1\nx\n")
     report = pipelines.validate_dataset(spark, str(dataset / "dataset.yaml"))
-    text = "\n".join(report.errors)
-    assert "train_001 Missing label" in text and "other Label without image" in text and "val_001:2 class id" in text and "val_001:3" not in text
+    text = "\n".join(report.messages())
+    assert "train/one Missing label" in text and "val/other Label without image" in text and "val/three/2 class id" in text and "three/3" not in text
     with pytest.raises(ValueError):
         pipelines.dataset_statistics(spark, str(dataset / "dataset.yaml"))
 
@@ -62,6 +62,15 @@ def test_export(spark, tmp_path):
     assert (parts["train"]["rows"], parts["train"]["last_frame"], parts["gap"]["rows"], parts["val"]["rows"], parts["val"]["first_frame"]) == (3, 14, 1, 1, 28)
     texts = got.tables["labels"].collect()
     assert len(texts) == 4 and {r.text for r in texts} == {"0 0.5 0.5 0.25 0.25"}
+    out = tmp_path.parent / f"{tmp_path.name}-out"
+    pipelines.prepare_export(spark, str(tmp_path), 0.67, 1, classes={0: "Ant"}, output=str(out))
+    assert len(list((out / "images" / "train").iterdir())) == len(list((out / "labels" / "train").iterdir())) == 3
+    assert {p.read_text() for p in (out / "labels" / "val").iterdir()} == {"0 0.5 0.5 0.25 0.25\n"} and (out / "split_report.json").read_text().endswith("}\n")
+    assert pipelines.validate_dataset(spark, str(out / "dataset.yaml")).ok
+    with pytest.raises(FileExistsError):
+        pipelines.prepare_export(spark, str(tmp_path), 0.67, 1, output=str(out))
+    with pytest.raises(ValueError):
+        pipelines.prepare_export(spark, str(tmp_path), 0.67, 1, output=str(tmp_path / "train"))
 
 
 def test_sequence(spark, tmp_path):
@@ -81,18 +90,31 @@ def test_all_errors_are_kept(spark, dataset, tmp_path):
         (tmp_path / "export" / split / "labels").mkdir(parents=True)
         (tmp_path / "export" / split / "labels" / f"{split}.txt").write_text(bad if split == "test" else "x\n")
     found = pipelines.inspect_export(spark, str(tmp_path / "export"))
-    every = [(s, s, i) for s in pipelines.EXPORT_SPLITS for i in range(1201 if s == "test" else 2)]
-    assert sorted((r.split, r.stem, r.line_no or 0) for r in found.tables["errors"].collect()) == sorted(every)
-    assert len(found.errors) == 1001 and not any(e.startswith("valid/") for e in found.errors)
+    # Labels without an image are orphans; their lines aren't looked at.
+    assert sorted((r.split, r.stem) for r in found.tables["errors"].collect()) == sorted((s, s) for s in pipelines.EXPORT_SPLITS)
+    for split in pipelines.EXPORT_SPLITS:
+        (tmp_path / "export" / split / "images" / f"{split}.png").write_bytes(png())
+    names = {s: f"a_frame_000001_t000.{i}00" for i, s in enumerate(pipelines.EXPORT_SPLITS)}
+    for split, stem in names.items():
+        (tmp_path / "export" / split / "images" / f"{stem}.png").write_bytes(png())
+        ids = "".join(f"{i} 0.5 0.5 0.1 0.1\n" for i in range(150))
+        (tmp_path / "export" / split / "labels" / f"{stem}.txt").write_text((bad if split == "test" else "x\n") + (ids if split == "valid" else ""))
+    found = pipelines.inspect_export(spark, str(tmp_path / "export"))
+    rows = [(r.split, r.stem, r.line_no or 0) for r in found.tables["errors"].collect()]
+    every = [(s, names[s], i) for s in pipelines.EXPORT_SPLITS for i in range(1, 1201 if s == "test" else 2)]
+    every += [("valid", names["valid"], i) for i in range(3, 152)] + [(s, s, 0) for s in pipelines.EXPORT_SPLITS]
+    assert sorted(rows) == sorted(every) and len(list(found.messages())) == len(every) == found.counts["errors"]
+    assert found.counts["class_ids"] == list(range(150)) and found.counts["labelled"] == 3 and found.counts["unlabelled"] == 0
+    assert found.counts["labels"] == {s: 2 for s in pipelines.EXPORT_SPLITS} and found.counts["invalid_lines"] == 1200 + 1 + 150
     with pytest.raises(pipelines.ReportError) as fatal:
         pipelines.prepare_export(spark, str(tmp_path / "export"), 0.67, 1)
-    assert fatal.value.report.tables["errors"].where("split = 'valid'").count() == 2
+    assert fatal.value.report.tables["errors"].where("split = 'valid'").count() == 151
 
     for i in range(1100):
         (dataset / f"labels/train/orphan_{i:04d}.txt").write_text("")
-    (dataset / "labels/val/val_001.txt").write_text("x\ny\n")
+    (dataset / "labels/val/three.txt").write_text("x\ny\n")
     errors = pipelines.validate_dataset(spark, str(dataset / "dataset.yaml")).tables["errors"]
-    assert errors.where("split = 'train'").count() == 1100 and [(r.stem, r.line_no) for r in errors.where("split = 'val'").collect()] == [("val_001", 1)]
+    assert errors.where("split = 'train'").count() == 1100 and [(r.stem, r.line_no) for r in errors.where("split = 'val'").collect()] == [("three", 1)]
 
 
 def test_sequence_errors_are_listed(spark, tmp_path):
@@ -123,9 +145,58 @@ def test_headers_and_guards(tmp_path):
     a, b = tmp_path / "a", tmp_path / "frozen" / "b"
     assert provenance.path_errors([a], [a, b, b], [tmp_path / "frozen"]).__len__() == 4
     assert provenance.class_errors({0: " Ant"}, {0: "ant"}) == [] and provenance.class_errors({1: "ant"}, {0: "ant"})
-    doc = provenance.run_document({"path": "v"}, "AB", [{"sha256": "ab", "experiment": "e", "status": "s"}], {"iou": 0.5}, {"iou": 0.7}, {0: "ant"}, {})
-    assert doc["model"]["experiment"] == "e" and doc["inference"]["overrides"] == {"iou": {"canonical": 0.7, "actual": 0.5}}
-    json.dumps(doc)
+
+
+def test_run_documents(spark):
+    runs = spark.sql("select 'v' source_path, 'aa' source_sha256, 'm' model_path, 'AB' model_sha256, map('0', 'ant') classes, named_struct('processedFrames', 3) result, timestamp'2026-01-02 03:04:05' created_at, 0.25D confidence, 0.5D iou, 640 imageSize, false end2end")
+    registry = spark.createDataFrame([("ab", "e", "s")], "sha256 string, experiment string, status string")
+    canonical = spark.sql("select 0.25D confidence, 0.7D iou, 640 imageSize, false end2end")
+    doc = json.loads(provenance.run_documents(runs, registry, canonical).first().document)
+    assert doc["model"]["experiment"] == "e" and doc["inference"]["overrides"] == {"iou": {"canonical": 0.7, "actual": 0.5}} and doc["inference"]["canonicalInference"] is False
+    assert doc["schemaVersion"] == 1 and doc["createdAtUtc"] == "2026-01-02T03:04:05.000000Z" and doc["classes"] == {"0": "ant"} and doc["environment"]["python"]
+    doc = json.loads(provenance.run_documents(runs.withColumn("iou", F.lit(0.7)), registry.limit(0), canonical).first().document)
+    assert doc["inference"]["overrides"] == {} and doc["inference"]["canonicalInference"] and doc["model"]["status"] == "CUSTOM / UNREGISTERED"
+
+
+def test_external_sets(spark, tmp_path):
+    for video in ("b", "a"):
+        for kind in ("images", "labels"):
+            (tmp_path / "sets" / video / kind).mkdir(parents=True)
+        (tmp_path / "sets" / video / "images" / "f.png").write_bytes(png())
+        (tmp_path / "sets" / video / "labels" / "f.txt").write_text("0 .5 .5 .1 .1\n" if video == "a" else "")
+    metrics = spark.createDataFrame([("a", 0.5, 1.0, 0.4, None)], "name string, precision double, recall double, map50 double, map double")
+    got = pipelines.evaluate_external(spark, str(tmp_path / "sets"), metrics, str(tmp_path / "out"))
+    assert [(v["name"], v["annotations"], v["images_without"], v["precision"]) for v in got.counts["videos"]] == [("a", 1, 0, 0.5), ("b", 0, 1, 0.0)]
+    assert got.counts["macro"]["macro_precision"] == 0.25 and json.loads((tmp_path / "out" / "evaluation.json").read_text())["macro"]["sources"] == 2
+    assert files.parse_dataset_yaml((tmp_path / "out/datasets/a.yaml").read_text())["val"] == "images"
+    with pytest.raises(ValueError):
+        pipelines.evaluate_external(spark, str(tmp_path / "sets"), metrics, str(tmp_path / "sets" / "out"))
+    (tmp_path / "sets/a/labels/x.txt").write_text("")
+    (tmp_path / "sets/b/images/bad.png").write_bytes(b"no")
+    with pytest.raises(pipelines.ReportError) as fatal:
+        pipelines.evaluate_external(spark, str(tmp_path / "sets"), metrics)
+    assert {r.stem for r in fatal.value.report.tables["errors"].collect()} == {"x", "bad"}
+
+
+def test_sequence_output(spark, tmp_path):
+    (tmp_path / "gt").mkdir()
+    (tmp_path / "gt" / "gt.txt").write_text("1,7,100,50,200,100,1\n2,7,100,50,200,100,1\n")
+    (tmp_path / "img").mkdir()
+    for name in ("000001.png", "000002.png", "000004.png", "x.png"):
+        (tmp_path / "img" / name).write_bytes(png())
+    info = files.read_sequence_info("[Sequence]\nname=S\nframeRate=30\nseqLength=3\nimWidth=1000\nimHeight=500\nimExt=.png\n")
+    frames, failing = pipelines.sequence_images(files.list_images(spark, str(tmp_path / "img")), info)
+    assert sorted(r.frame for r in frames.collect()) == [1, 2]
+    assert {(r.check, r.name) for r in failing.collect()} == {("missing images", "000003.png"), ("extra images", "000004.png"), ("extra images", "x.png")}
+    every = spark.range(1, 4).select(F.col("id").alias("frame"))
+    got = pipelines.convert_sequence(spark, str(tmp_path / "gt"), info, every, str(tmp_path / "out"))
+    assert got.ok and (tmp_path / "out/labels/000003.txt").read_text() == "" and (tmp_path / "out/labels/000001.txt").read_text() == "0 0.2 0.2 0.2 0.2\n"
+    assert set(got.counts["revalidation"].values()) == {0} and json.loads((tmp_path / "out/conversion_report.json").read_text())["annotations"] == 2
+    (tmp_path / "out/labels/000001.txt").write_text("1 .5 .5 .1 .1\n0 .9 .5 .3 .1\n0 .5 .5 0 .1\nx\n")
+    (tmp_path / "out/labels/more.txt").write_text("")
+    stems = every.select(F.format_string("%06d", "frame").alias("stem"))
+    again = pipelines.revalidate_labels(stems, files.read_line_files(spark, str(tmp_path / "out/labels")), files.list_files(spark, str(tmp_path / "out/labels"), ("txt",))).first().asDict()
+    assert again == {"missing_labels": 0, "extra_labels": 1, "invalid_class_ids": 1, "out_of_range": 1, "zero_or_negative": 1, "other": 1}
 
 
 def test_roi(spark):

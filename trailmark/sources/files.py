@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import ast
 import configparser
+import json
+import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.session import file_system, spread
+
 #: Suffixes of image files.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
 
@@ -28,17 +35,28 @@ def read_line_files(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
     return lines.where(~last_empty).select("file", _stem(F.col("file")).alias("stem"), (F.col("i") + 1).alias("line_no"), "line")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = file_system(spark, path)
+    return system.exists(place)
+
+
 def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
     """(file, name, stem, length) of files directly in a folder by suffix, case aside; an absent folder gives none.
 
-    The listing is the file system's own, as Spark's file readers skip empty files.
+    Names come from Spark's file index, which has empty files too; lengths from a scan of the files' metadata, which
+    reads no content and leaves empty files out.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f for f in system.listStatus(path) if f.isFile()] if system.exists(path) else []
-    rows = [(str(f.getPath()), f.getPath().getName(), f.getLen()) for f in found]
-    files = spark.createDataFrame(rows, "file string, name string, length bigint")
-    return files.where(F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).isin(*suffixes)).select("file", "name", _stem(F.col("name")).alias("stem"), "length")
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "file string, name string, stem string, length bigint")
+    system, place = file_system(spark, folder)
+    scanned = spark.read.format("binaryFile").load(folder)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    lengths = scanned.select(plain(F.col("path")).alias("file"), "length")
+    names = spark.createDataFrame([(f,) for f in scanned.inputFiles()], "file string").select(plain(F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))).alias("file"))
+    name = F.regexp_extract("file", r"([^/]*)$", 1)
+    parent = str(system.makeQualified(place).toString()).rstrip("/") + "/"
+    direct = names.where((F.regexp_replace("file", r"[^/]*$", "") == parent) & F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1)).isin(*suffixes))
+    return direct.join(lengths, "file", "left").select("file", name.alias("name"), _stem(F.col("file")).alias("stem"), F.coalesce("length", F.lit(0).cast("bigint")).alias("length"))
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,16 +93,37 @@ def header_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """(stem, image_w, image_h) from image headers; unreadable images have nulls."""
-    files = spark.read.format("binaryFile").load(folder)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+def _open(uri: str):
+    """A stream of a file by its URI, on whatever file system; for readers on workers."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    return system.open_input_stream(path)
+
 
-    @F.pandas_udf("struct<image_w: int, image_h: int>")
-    def size(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([header_size(c) or (None, None) for c in content], columns=["image_w", "image_h"]).astype("Int32")
+def read_header(uri: str, least: int = 1 << 16) -> tuple[int, int] | None:
+    """Width and height of an image file from its first bytes; more of it is read only while the header goes on."""
+    try:
+        with _open(uri) as stream:
+            data = stream.read(least)
+            size = header_size(data)
+            while size is None and data[:2] == b"\xff\xd8" and (more := stream.read(len(data))):
+                data += more
+                size = header_size(data)
+        return size
+    except OSError:
+        return None
 
-    return files.where(suffix.isin(*IMAGE_SUFFIXES)).select(_stem(F.col("path")).alias("stem"), size("content").alias("s")).select("stem", "s.image_w", "s.image_h")
+
+def image_sizes(images: DataFrame) -> DataFrame:
+    """(file, image_w, image_h) of listed images (file) from their headers; unreadable images have nulls."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [read_header(f) or (None, None) for f in batch["file"]]
+            yield pd.DataFrame({"file": batch["file"], "image_w": pd.array([w for w, _ in found], "Int32"), "image_h": pd.array([h for _, h in found], "Int32")})
+
+    return spread(images.select("file")).mapInPandas(run, "file string, image_w int, image_h int")
 
 
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,27 +131,29 @@ def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
+#: A line of a dataset file: indented or not, a key and a value.
+_ENTRY = re.compile(r"(?P<indent> {2})?\s*(?P<key>[^:]*?)\s*:\s*(?P<value>.*?)\s*")
+_QUOTED = re.compile(r"([\"']?)(.*)\1")
+
+
 def parse_dataset_yaml(text: str) -> dict:
     """The subset of YAML that dataset files use: scalars, and ``names`` as an indented map. ``#`` starts a comment anywhere."""
-    parsed: dict = {}
-    names: dict[int, str] = {}
-    inside = False
-    for raw in text.splitlines():
-        line = raw.split("#", 1)[0].rstrip()
-        if not line.strip():
-            continue
-        if ":" not in line:
-            raise ValueError(f"not a key and value: {raw}")
-        key, value = (part.strip() for part in line.split(":", 1))
-        if inside and line.startswith("  "):
-            names[int(key)] = value.strip("\"'")
-            continue
-        inside = key == "names" and not value
-        if not inside:
-            parsed[key] = value.strip().strip('"').strip("'")
-    if names:
-        parsed["names"] = names
-    return parsed
+    lines = [bare for raw in text.splitlines() if (bare := raw.partition("#")[0].rstrip())]
+    entries = [_ENTRY.fullmatch(line) for line in lines]
+    if None in entries:
+        raise ValueError(f"not a key and value: {lines[entries.index(None)]}")
+    # Each entry with the unindented one that it stands under.
+    owners = accumulate(entries, lambda owner, e: owner if e["indent"] and owner["key"] == "names" else e)
+    plain = {e["key"]: _QUOTED.fullmatch(e["value"])[2] for e, owner in zip(entries, owners) if e is owner and (e["key"] != "names" or e["value"])}
+    owners = accumulate(entries, lambda owner, e: owner if e["indent"] and owner["key"] == "names" else e)
+    listed = {int(e["key"]): _QUOTED.fullmatch(e["value"])[2] for e, owner in zip(entries, owners) if e is not owner}
+    return plain | ({"names": listed} if listed else {})
+
+
+def dataset_yaml(train: str = "images/train", val: str = "images/val", root: str = ".", names: tuple[str, ...] = ("ant",)) -> str:
+    """Text of a dataset file for :func:`parse_dataset_yaml` and detector trainers."""
+    head = {"path": root, "train": train, "val": val}
+    return "".join(f"{k}: {v}\n" for k, v in head.items()) + "names:\n" + "".join(f"  {i}: {name}\n" for i, name in enumerate(names))
 
 
 def class_names(value) -> dict[int, str]:
@@ -201,6 +242,60 @@ def label_texts(images: DataFrame, boxes: DataFrame, key: str, line: str, order:
     return images.select(key).distinct().join(texts, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
+def write_text_files(texts: DataFrame, folder: str, name: str, text: str) -> DataFrame:
+    """Write a small file per row, named by ``name``, into a folder that all workers reach; an empty text is an empty file.
+
+    Gives (file, bytes) per file when it is evaluated. A file is written whole before it gets its name, so a task that
+    runs again leaves the same files.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            sizes = []
+            for n, t in zip(batch["name"], batch["text"]):
+                data, part = (t or "").encode(), f"{root}/.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as out:
+                    out.write(data)
+                system.move(part, f"{root}/{n}")
+                sizes.append(len(data))
+            yield pd.DataFrame({"file": batch["name"], "bytes": sizes})
+
+    return texts.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInPandas(run, "file string, bytes bigint")
+
+
+def copy_files(pairs: DataFrame, source: str, target: str) -> DataFrame:
+    """Copy files by workers: (target, bytes) per file when it is evaluated; a copy gets its name when it is whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            sizes = []
+            for origin, place in zip(batch["source"], batch["target"]):
+                system, path = fs.FileSystem.from_uri(place.replace("s3a://", "s3://", 1))
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                part, n = f"{path}.{uuid.uuid4().hex}.part", 0
+                with _open(origin) as data, system.open_output_stream(part) as out:
+                    while block := data.read(1 << 20):
+                        out.write(block)
+                        n += len(block)
+                system.move(part, path)
+                sizes.append(n)
+            yield pd.DataFrame({"target": batch["target"], "bytes": sizes})
+
+    return pairs.select(F.col(source).alias("source"), F.col(target).alias("target")).mapInPandas(run, "target string, bytes bigint")
+
+
+def write_report(path: Path, document: dict) -> None:
+    """A report as JSON with an indent of 2 and a newline at its end."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps(document, indent=2, default=str) + "\n", encoding="utf-8")
+
+
 def discover_test_sets(root: Path) -> list[Path]:
     """Folders of external test videos: the root itself if it has ``images``, else its subfolders that do."""
     if (root / "images").is_dir():
