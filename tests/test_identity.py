@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions.hashing import hash64, sha_key, video_key
-from trailmark.operators import identity, motion, pixels, ranking, skew
+from trailmark.operators import identity, motion, ranking, skew
 
 
 def test_keys(spark):
@@ -65,18 +65,7 @@ def test_hot_lookup_and_chunks(spark):
     assert skew.expand_pairs(pairs, named, named).count() == 200
 
 
-def test_pixels(spark):
-    import numpy as np
-
-    mask = np.zeros((40, 40), bool)
-    mask[2:4, 2:4] = True
-    mask[10:25, 10:25] = True
-    assert pixels.regions(mask, 20) == [(10, 10, 15, 15, 225)] and len(pixels.regions(mask, 1)) == 2
-    still, moved = np.zeros((8, 8), np.uint8), np.zeros((8, 8), np.uint8)
-    moved[1:4, 1:4] = 255
-    df = spark.createDataFrame([(1, i, 8, 8, bytearray((moved if i == 3 else still).tobytes())) for i in (3, 0, 2, 1)], "stream bigint, frame_index bigint, height int, width int, pixels binary")
-    got = {r.frame_index: (r.score, r.regions) for r in pixels.motion_frames(df, 1, 2).collect()}
-    assert got[3] == (9 / 64, 1) and got[1] == (0.0, 0)
+def test_regions_and_heatmap(spark):
     regions = spark.sql("select array(named_struct('id', 1, 'area', 5.0), named_struct('id', 2, 'area', 9.0), named_struct('id', 3, 'area', 5.0), named_struct('id', 4, 'area', 1.0)) r")
     assert [x.id for x in regions.select(motion.motion_regions(F.col("r"), F.lit(2.0)).alias("r")).first().r] == [2, 1, 3]
     cells = spark.createDataFrame([(1, *c) for c in [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1), (1, 1)]], "s int, y int, x int")
