@@ -148,6 +148,10 @@ def all_errors(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("error").isNotNull())
 
 
+def all_valid(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("error").isNull())
+
+
 def first_errors(parsed: DataFrame, file: str, line_no: str = "line_no") -> DataFrame:
     """Reading that stops at a file's first bad line: (file, line_no, error)."""
     bad = F.min(F.struct(F.col(line_no).alias("line_no"), "error"))
@@ -166,6 +170,23 @@ def file_counts(parsed: DataFrame, file: str) -> DataFrame:
     )
 
 
+def class_ids(parsed: DataFrame) -> DataFrame:
+    """(class_id, lines): every class id that any line names, valid or not."""
+    return parsed.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("lines"))
+
+
+def split_counters(records: DataFrame, parsed: DataFrame, split: str, file: str) -> DataFrame:
+    """Per split of ``records`` (a row per image with a label file): images, those with any label line, valid or not, those
+    without, annotations by format and invalid lines."""
+    counts = file_counts(parsed, file)
+    rows = records.select(split, file).join(counts, file, "left")
+    zero = F.lit(0).cast("bigint")
+    return rows.groupBy(split).agg(
+        F.count("*").alias("images"), F.count("clean").alias("labelled"), F.count_if(F.col("clean").isNull()).alias("unlabelled"),
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("detections", "polygons", "invalid_lines")],
+    )
+
+
 def duplicate_rows(lines: DataFrame, file: str, line: str = "line") -> DataFrame:
     """Label lines that stand more than once in a file, blanks around them aside: (file, line, copies, extra_rows)."""
     text = F.regexp_replace(line, r"^\s+|\s+$", "")

@@ -98,6 +98,26 @@ def temporal_split(rows: DataFrame, stream: list[str], order: list[str], train_f
     return rows.withColumn("part", part).drop("__i", "__n")
 
 
+def quota_sample(frames: DataFrame, video: str, order: list[str], hash_: str, bins: int, offsets: tuple[float, ...], least_bits: int) -> DataFrame:
+    """At most one frame per video and temporal bin: (video, bin, offset, the frame's columns).
+
+    A bin's candidates stand at ``offsets`` (parts of the bin) and are tried in that order; one is passed over if its
+    hash is within ``least_bits`` - 1 bits of the first candidate of the bin before. A bin may stay empty. Frames
+    without a hash are never near.
+    """
+    placed = exact_rank(frames, [video], order, "__i").withColumn("__i", F.col("__i") - 1)
+    totals = frames.groupBy(video).agg(F.count("*").alias("__n"))
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("bin"), F.lit(k).alias("offset"), F.lit((b + o) / bins).alias("part")) for b in range(bins) for k, o in enumerate(offsets)]))
+    wanted = totals.where(F.col(video).isNotNull()).select(F.col(video).alias("__v"), "__n", each.alias("w")).select("__v", "w.bin", "w.offset", F.floor(F.col("w.part") * F.col("__n")).alias("__at"))
+    found = placed.join(wanted, (F.col(video) == F.col("__v")) & (F.col("__i") == F.col("__at"))).drop("__v", "__at", "__i")
+    before = found.where(F.col("offset") == 0).select(F.col(video).alias("__v"), (F.col("bin") + 1).alias("__b"), F.col(hash_).alias("__h"))
+    joined = found.join(before, (F.col(video) == F.col("__v")) & (F.col("bin") == F.col("__b")), "left")
+    near = F.coalesce(F.bit_count(F.col(hash_).bitwiseXOR(F.col("__h"))) < least_bits, F.lit(False))
+    rest = [c for c in found.columns if c not in (video, "bin", "offset")]
+    chosen = joined.where(~near).groupBy(video, "bin").agg(F.min(F.struct("offset", *rest)).alias("c"))
+    return chosen.select(video, "bin", "c.*")
+
+
 def duration_seconds(frames: Column, fps: Column) -> Column:
     """frames / fps to 6 places where both are above 0, else 0."""
     return F.when((frames > 0) & (fps > 0), F.round(frames / fps, 6)).otherwise(F.lit(0.0))

@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.functions.geometry import pixel_corners
+from trailmark.functions.geometry import pixel_corners, roi_within_error
 from trailmark.functions.hashing import hash64, name_key, sha_key, video_key
 from trailmark.operators import evaluation, identity, labels, matching, motion, statistics, temporal, tracking
-from trailmark.plans import adapters
+from trailmark.plans import adapters, pipelines
+from trailmark.plans.pipelines import roi_from_text
 from trailmark.session import read_table, shared_folder, spread
-from trailmark.streaming.motion import activity_windows, running_summary
+from trailmark.sources import files
+from trailmark.sources.files import SequenceInfo
+from trailmark.streaming.motion import activity_windows, detection_totals, running_summary
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -679,6 +682,312 @@ def split_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return identity.split_overlap(rows, "split", "video")
 
 
+# Checks, reports and provenance ---------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_FRAMES} SELECT stream, frame_index, round(frame_index / CASE WHEN f <= 0 THEN 30 ELSE f END, 9) AS analyze_seconds, round(CASE WHEN f > 0 THEN frame_index / f ELSE 0 END, 9) AS extract_seconds,
+    round(frame_index / CASE WHEN f = 0 THEN 30 ELSE f END, 9) + 0.0::DOUBLE AS detect_seconds, CASE WHEN frame_index > 0 AND f > 0 THEN round(frame_index / f, 6) ELSE 0 END AS duration
+    FROM (SELECT stream, frame_index, (stream - 2) * 12.5::DOUBLE AS f FROM frames)"""
+)
+def frame_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Times of frames under the three rules for a rate that isn't above 0, and durations."""
+    fps = (F.col("stream") - 2) * F.lit(12.5)
+    rows = adapters.frames(spark, folder).withColumn("fps", fps)
+    times = [F.round(temporal.frame_seconds(F.col("frame_index"), F.col("fps"), p), 9).alias(f"{p}_seconds") for p in ("analyze", "extract", "detect")]
+    return rows.select("stream", "frame_index", *times, temporal.duration_seconds(F.col("frame_index"), F.col("fps")).alias("duration"))
+
+
+_ROI = """r AS (SELECT image_id, image_width AS w, image_height AS h, (image_id * 7) % 2600 - 20 AS x, (image_id * 11) % 1500 - 10 AS y, (image_id * 13) % 900 AS rw, (image_id * 17) % 700 AS rh FROM images)"""
+
+
+def _rois(spark: SparkSession, folder: str) -> DataFrame:
+    i = F.col("image_id")
+    values = ((i * 7) % 2600 - 20, (i * 11) % 1500 - 10, (i * 13) % 900, (i * 17) % 700)
+    rows = adapters.distinct_images(spark, folder).select("image_id", F.col("image_width").alias("w"), F.col("image_height").alias("h"), *[v.alias(n) for v, n in zip(values, ("x", "y", "rw", "rh"))])
+    return rows
+
+
+@query(
+    f"""WITH {_IMAGES}, {_ROI} SELECT image_id, CASE WHEN x < 0 OR y < 0 THEN 'roi x and y must be non-negative' WHEN rw <= 0 OR rh <= 0 THEN 'roi width and height must be greater than 0'
+    WHEN x + rw > w OR y + rh > h THEN 'roi exceeds the frame' END AS error FROM r"""
+)
+def roi_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions of interest read from text and held against their frame."""
+    rows = _rois(spark, folder).withColumn("r", roi_from_text(F.concat_ws(",", "x", "y", "rw", "rh")))
+    own = [F.col(f"r.{c}") for c in ("x", "y", "width", "height")]
+    return rows.select("image_id", F.coalesce("r.error", roi_within_error(*own, F.col("w"), F.col("h"))).alias("error"))
+
+
+@query(
+    f"""WITH {_IMAGES}, {_ROI}, {_BOXES} SELECT box_id, round_even(b.x_center * 100 + r.x, 0)::BIGINT AS gx, round_even(b.y_center * 100 + r.y, 0)::BIGINT AS gy, round_even(b.width * 100, 0)::BIGINT AS gw,
+    round_even(b.height * 100, 0)::BIGINT AS gh FROM b JOIN r USING (image_id) WHERE {_VALID_BOX}"""
+)
+def global_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes within a region of interest at their place in the frame, halves to even."""
+    rows = _valid_boxes(spark, folder).join(_rois(spark, folder).select("image_id", "x", "y"), "image_id")
+    placed = motion.to_global(*[F.col(c) * 100 for c in labels.FIELDS], F.col("x"), F.col("y"))
+    return rows.select("box_id", placed.alias("g")).select("box_id", *[F.col(f"g.{c}").alias(f"g{c[0]}") for c in ("x", "y", "width", "height")])
+
+
+def _valid_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    good = F.col("class_id") == 0
+    for c in labels.FIELDS:
+        good = good & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    return adapters.distinct_boxes(spark, folder).where(good)
+
+
+@query(
+    f"""WITH {_IMAGES}, {_BOXES}, a AS (SELECT image_id, image_width * image_height AS pixels, sum(image_width * width * image_height * height) AS moving FROM b JOIN images USING (image_id) WHERE {_VALID_BOX} GROUP BY ALL)
+    SELECT image_id, round(CASE WHEN pixels = 0 THEN 0 ELSE least(1.0, greatest(0.0, moving / pixels)) END, 6) AS score, CASE WHEN image_id % 3 = 0 THEN 7.0 ELSE round(greatest(1.0, pixels * 1e-5), 6) END AS least_area FROM a"""
+)
+def activity_and_least_area(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of moving pixels, boxes standing for motion, and the least area of a region, given for every third image."""
+    sizes = adapters.distinct_images(spark, folder).select("image_id", "image_width", "image_height")
+    w, h = F.col("image_width"), F.col("image_height")
+    rows = _valid_boxes(spark, folder).join(sizes, "image_id").groupBy("image_id", (w * h).alias("pixels")).agg(F.sum(w * F.col("width") * h * F.col("height")).alias("moving"))
+    explicit = F.when(F.col("image_id") % 3 == 0, F.lit(7.0))
+    score = motion.activity_score(F.col("moving"), F.col("pixels"))
+    return rows.select("image_id", F.round(score, 6).alias("score"), F.round(motion.min_motion_area(F.col("pixels"), F.lit(1e-5), explicit), 6).alias("least_area"))
+
+
+@query(
+    f"""WITH {_BOXES}, a AS (SELECT image_id, box_id, width * height AS area FROM b WHERE {_VALID_BOX} AND width * height >= 0.001)
+    SELECT image_id, box_id, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, box_id) - 1 AS place FROM a"""
+)
+def region_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions of at least an area, largest first, of each image."""
+    regions = F.sort_array(F.collect_list(F.struct("box_id", (F.col("width") * F.col("height")).alias("area"))))
+    grouped = _valid_boxes(spark, folder).groupBy("image_id").agg(regions.alias("r"))
+    kept = grouped.select("image_id", F.posexplode(motion.motion_regions(F.col("r"), F.lit(0.001))).alias("place", "r"))
+    return kept.select("image_id", F.col("r.box_id").alias("box_id"), F.col("place").cast("bigint").alias("place"))
+
+
+_EDGE = "greatest(-(x_center - width / 2) * w, (x_center + width / 2 - 1) * w, -(y_center - height / 2) * h, (y_center + height / 2 - 1) * h)"
+
+
+@query(
+    f"""WITH {_IMAGES}, s AS (SELECT image_id, image_width::DOUBLE AS w, image_height::DOUBLE AS h FROM images), {_LABELS},
+    j AS (SELECT line_id, CASE WHEN error LIKE 'must contain%' OR error LIKE 'class id%' OR error LIKE 'contains%' THEN error
+      WHEN NOT isfinite(x_center) THEN 'x_center must be finite.' WHEN NOT isfinite(y_center) THEN 'y_center must be finite.' WHEN NOT isfinite(width) THEN 'width must be finite.' WHEN NOT isfinite(height) THEN 'height must be finite.'
+      WHEN width <= 0 OR height <= 0 THEN 'width and height must be greater than 0.' WHEN {_EDGE} > 0.5 + 1e-12 THEN 'bounding box exceeds image bounds by more than 0.5 pixels.' END AS error FROM judged JOIN s USING (image_id))
+    SELECT error, count(*) AS lines FROM j GROUP BY error"""
+)
+def image_edge_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Label lines judged in pixels of their image."""
+    sizes = adapters.distinct_images(spark, folder).select("image_id", F.col("image_width").cast("double").alias("w"), F.col("image_height").cast("double").alias("h"))
+    lines = spread(read_table(spark, folder, "label_lines")).join(sizes, "image_id")
+    return labels.parse_labels(lines, polygons=False, image_w="w", image_h="h").groupBy("error").agg(F.count("*").alias("lines"))
+
+
+_DATASET = f"""i AS (SELECT DISTINCT lower(trim(split_name, {_BLANK})) AS split, image_id::VARCHAR AS stem, CASE WHEN image_id % 50 <> 7 THEN image_width END AS image_w FROM images WHERE lower(trim(split_name, {_BLANK})) IN ('train', 'valid', 'test')),
+    f AS (SELECT DISTINCT s.split, image_id::VARCHAR AS stem FROM label_lines, (VALUES ('train'), ('valid'), ('test')) s(split)),
+    p AS (SELECT i.split, judged.image_id::VARCHAR AS stem, line_no, error FROM judged JOIN i ON i.stem = judged.image_id::VARCHAR),
+    whole AS (SELECT split, stem, NULL::INT AS line_no, 'Missing label for image' AS error FROM i WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.split = i.split AND f.stem = i.stem)
+      UNION ALL SELECT split, stem, NULL, 'Label without image' FROM f WHERE NOT EXISTS (SELECT 1 FROM i WHERE f.split = i.split AND f.stem = i.stem)
+      UNION ALL SELECT split, stem, NULL, 'Image could not be read' FROM i WHERE image_w IS NULL AND EXISTS (SELECT 1 FROM f WHERE f.split = i.split AND f.stem = i.stem))"""
+
+
+def _dataset_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = adapters.distinct_images(spark, folder).withColumn("split", name_key(F.col("split_name"))).where(F.col("split").isin("train", "valid", "test"))
+    images = rows.select("split", F.col("image_id").cast("string").alias("stem"), F.when(F.col("image_id") % 50 != 7, F.col("image_width")).alias("image_w"))
+    lines = spread(read_table(spark, folder, "label_lines")).withColumn("stem", F.col("image_id").cast("string"))
+    splits = F.explode(F.array(F.lit("train"), F.lit("valid"), F.lit("test"))).alias("split")
+    files = lines.select("stem").distinct().select("stem", splits)
+    return images, files, labels.parse_labels(lines.join(images.select("split", "stem"), "stem"), polygons=False)
+
+
+@query(
+    f"""WITH {_IMAGES}, {_LABELS}, {_DATASET} SELECT split, stem, line_no, error FROM whole
+    UNION ALL SELECT split, stem, min((line_no, error))[1], min((line_no, error))[2] FROM p WHERE error IS NOT NULL GROUP BY split, stem"""
+)
+def dataset_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """All errors of a dataset under the policy that reports a file's first bad line."""
+    return pipelines.dataset_errors(*_dataset_tables(spark, folder), every_line=False)
+
+
+@query(f"WITH {_IMAGES}, {_LABELS}, {_DATASET} SELECT split, stem, line_no, error FROM whole UNION ALL SELECT split, stem, line_no, error FROM p WHERE error IS NOT NULL")
+def export_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """All errors of an export, with every bad line."""
+    return pipelines.dataset_errors(*_dataset_tables(spark, folder), every_line=True)
+
+
+@query(
+    f"""WITH {_IMAGES}, {_LABELS}, l AS (SELECT image_id, count(*) FILTER (error IS NULL) AS good, count(*) FILTER (error IS NOT NULL) AS bad FROM judged GROUP BY image_id)
+    SELECT nullif(lower(trim(split_name, {_BLANK})), '') AS split, count(*) AS images, count(l.image_id) AS labelled, count(*) FILTER (l.image_id IS NULL) AS unlabelled, coalesce(sum(good), 0)::BIGINT AS detections,
+    0::BIGINT AS polygons, coalesce(sum(bad), 0)::BIGINT AS invalid_lines FROM images LEFT JOIN l USING (image_id) GROUP BY ALL"""
+)
+def export_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters of an export per split."""
+    records = adapters.distinct_images(spark, folder).withColumn("split", name_key(F.col("split_name")))
+    return labels.split_counters(records, _parsed(spark, folder), "split", "image_id")
+
+
+@query(f"WITH {_LABELS} SELECT class_id, count(*) AS lines FROM judged WHERE class_id IS NOT NULL GROUP BY class_id")
+def label_class_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return labels.class_ids(_parsed(spark, folder))
+
+
+@query(
+    f"""WITH {_LABELS} SELECT (SELECT count(DISTINCT image_id) FROM frame_manifest WHERE image_id NOT IN (SELECT image_id FROM label_lines WHERE image_id IS NOT NULL)) AS missing_labels,
+    (SELECT count(DISTINCT image_id) FROM label_lines WHERE image_id NOT IN (SELECT image_id FROM frame_manifest)) AS extra_labels,
+    count(*) FILTER (error LIKE '%class id%') AS invalid_class_ids, count(*) FILTER (error LIKE '%normalized between 0 and 1%' OR error LIKE '%outside normalized image bounds%') AS out_of_range,
+    count(*) FILTER (error LIKE '%width and height must be greater than 0%') AS zero_or_negative,
+    count(*) FILTER (error NOT LIKE '%class id%' AND error NOT LIKE '%normalized%' AND error NOT LIKE '%width and height must be greater than 0%') AS other FROM judged"""
+)
+def label_revalidation(spark: SparkSession, folder: str) -> DataFrame:
+    """Check of written labels: stems on either side and lines by kind of error."""
+    stem = F.col("image_id").cast("string").alias("stem")
+    lines = read_table(spark, folder, "label_lines")
+    return pipelines.revalidate_labels(read_table(spark, folder, "frame_manifest").select(stem), spread(lines), lines.select(stem))
+
+
+@query(
+    f"""WITH {_LABELS}, g AS (SELECT image_id, line_no, line_id, printf('%d %.12g %.12g %.12g %.12g', class_id, x_center, y_center, width, height) AS l FROM judged WHERE error IS NULL)
+    SELECT i.image_id, coalesce(t.text, '') AS text FROM (SELECT DISTINCT image_id FROM label_lines) i LEFT JOIN (SELECT image_id, string_agg(l, chr(10) ORDER BY line_no, line_id) AS text FROM g GROUP BY image_id) t USING (image_id)"""
+)
+def label_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of label files, written anew from their valid lines."""
+    good = labels.all_valid(_parsed(spark, folder)).withColumn("text_line", labels.format_label(F.col("class_id"), {c: F.col(c) for c in labels.FIELDS}))
+    return files.label_texts(read_table(spark, folder, "label_lines").select("image_id"), good, "image_id", "text_line", ["line_no", "line_id"])
+
+
+@query(
+    f"""WITH {_MOT}, f AS (SELECT DISTINCT frame FROM good), n AS (SELECT unnest(range(1, 251)) AS frame)
+    SELECT 'missing images' AS "check", printf('%06d.jpg', frame) AS name, frame FROM n WHERE frame NOT IN (SELECT frame FROM f)
+    UNION ALL SELECT 'extra images', printf('%06d.jpg', frame), NULL FROM f WHERE frame > 250"""
+)
+def sequence_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of a sequence of 250 frames by name: those that lack and those that shouldn't be there."""
+    names = _tracks(spark, folder).select(F.concat(F.format_string("%06d", "frame"), F.lit(".jpg")).alias("name")).distinct().withColumn("file", F.col("name"))
+    return pipelines.sequence_images(names, SequenceInfo("s", "img", 30, 250, adapters.IMAGE_W, adapters.IMAGE_H, ".jpg"))[1]
+
+
+@query(
+    f"""WITH {_EVAL}, t AS (SELECT seq, sum(gt_count)::BIGINT AS gt_count FROM ev GROUP BY seq), d AS (SELECT seq, image, gx1, gy1, gx2, gy2, count(*) - 1 AS x FROM gt GROUP BY ALL)
+    SELECT t.seq, t.gt_count, (t.gt_count - (SELECT sum(x) FROM d WHERE d.seq = t.seq))::BIGINT AS distinct_gt_count, r_name AS baseline FROM t LEFT JOIN region ON r_regionkey = t.seq"""
+)
+def distinct_truth(spark: SparkSession, folder: str) -> DataFrame:
+    """Truth of each sequence less repeated rows, beside a baseline that not every sequence has."""
+    boxes, gt, pred = _sides(spark, folder)
+    baseline = read_table(spark, folder, "region").select(F.col("r_regionkey").cast("bigint").alias("seq"), F.col("r_name").alias("baseline"))
+    got = pipelines.evaluate_benchmark(boxes, gt, pred, "seq", "image", baseline)["comparison"]
+    extra = gt.groupBy("seq", "image", "x1", "y1", "x2", "y2").agg((F.count("*") - 1).alias("extra_rows"))
+    return evaluation.distinct_truth(got, extra, ["seq"]).select("seq", "gt_count", "distinct_gt_count", "baseline")
+
+
+@query(f"WITH {_ORDER_BOXES} SELECT count(DISTINCT image) AS processed_frames, (SELECT count(*) FROM pr) AS total_detections FROM ob")
+def detection_run_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames and detections of a run, frames without any included."""
+    boxes, _, pred = _sides(spark, folder)
+    found = pred.groupBy("image").agg(F.collect_list("pred_id").alias("detections"))
+    rows = boxes.select("image").distinct().join(found, "image", "left").withColumn("detections", F.coalesce("detections", F.array().cast("array<int>")))
+    return detection_totals(rows)
+
+
+@query(
+    f"""WITH {_ORDER_BOXES}, met AS (SELECT a.seq, a.image, a.pred_id AS a, b.pred_id AS b, greatest(0.0, least(a.px2, b.px2) - greatest(a.px1, b.px1)) * greatest(0.0, least(a.py2, b.py2) - greatest(a.py1, b.py1)) AS i,
+      (a.px2 - a.px1) * (a.py2 - a.py1) + (b.px2 - b.px1) * (b.py2 - b.py1) AS s FROM pr a JOIN pr b ON a.seq = b.seq AND a.image = b.image AND (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.pred_id < b.pred_id))),
+    steps AS (SELECT * FROM (VALUES (0.2::DOUBLE), (0.4::DOUBLE)) t(overlap)), hit AS (SELECT overlap, seq, image, a, b FROM met JOIN steps ON i / (s - i) > overlap),
+    k1 AS (SELECT overlap, seq, image, pred_id FROM pr, steps WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.overlap = steps.overlap AND hit.seq = pr.seq AND hit.image = pr.image AND hit.b = pr.pred_id)),
+    k2 AS (SELECT overlap, seq, image, pred_id FROM pr, steps WHERE NOT EXISTS (SELECT 1 FROM hit JOIN k1 ON k1.overlap = hit.overlap AND k1.seq = hit.seq AND k1.image = hit.image AND k1.pred_id = hit.a
+      WHERE hit.overlap = steps.overlap AND hit.seq = pr.seq AND hit.image = pr.image AND hit.b = pr.pred_id)),
+    k3 AS (SELECT overlap, seq, image, pred_id FROM pr, steps WHERE NOT EXISTS (SELECT 1 FROM hit JOIN k2 ON k2.overlap = hit.overlap AND k2.seq = hit.seq AND k2.image = hit.image AND k2.pred_id = hit.a
+      WHERE hit.overlap = steps.overlap AND hit.seq = pr.seq AND hit.image = pr.image AND hit.b = pr.pred_id)),
+    c AS (SELECT scored.*, k3.overlap FROM scored JOIN k3 USING (seq, image, pred_id) WHERE iou >= 0.3), {_matched('ms', 'c', 'overlap')}
+    SELECT overlap, (SELECT count(*) FROM k3 WHERE k3.overlap = steps.overlap) AS predictions, (SELECT sum(matched)::BIGINT FROM ms WHERE ms.overlap = steps.overlap) AS matched FROM steps"""
+)
+def suppression_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions that survive suppression at two overlaps, and their matches; images have three predictions at most."""
+    _, gt, pred = _sides(spark, folder)
+    return evaluation.suppression_sweep(gt, pred, _KEYS, [0.2, 0.4], 0.3)
+
+
+@query(
+    f"""WITH {_BOXES}, p AS (SELECT source_name, image_id, count(*) AS n FROM b GROUP BY ALL), d AS (SELECT source_name, avg(n) AS m FROM p GROUP BY source_name)
+    SELECT source_name, CASE WHEN m < 5 THEN 'sparse' WHEN m < 15 THEN 'medium' ELSE 'dense' END AS density FROM d"""
+)
+def density_classes(spark: SparkSession, folder: str) -> DataFrame:
+    got = statistics.density_by_source(adapters.distinct_boxes(spark, folder), "source_name", "image_id")
+    return got.select("source_name", statistics.density_class(F.col("mean_objects"), {"sparse": 5.0, "medium": 15.0, "dense": float("inf")}).alias("density"))
+
+
+@query(
+    f"""WITH {_IMAGES}, n AS (SELECT lower(regexp_extract(image_filename, '[^/]*$')) AS name, image_filename AS path, nullif(lower(trim(split_name, {_BLANK})), '') AS split, source_name FROM images),
+    names AS (SELECT name, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM n WHERE name IS NOT NULL AND split IS NOT NULL GROUP BY name HAVING count(DISTINCT split) > 1)
+    SELECT 'name in several splits' AS finding, name AS value, splits, NULL::BIGINT AS copies FROM names
+    UNION ALL SELECT 'path stands twice', path, split, count(*) FROM n WHERE path IS NOT NULL GROUP BY path, split HAVING count(*) > 1
+    UNION ALL SELECT 'forbidden source', source_name, split, count(*) FROM n WHERE source_name IN ('cellar_cam2', 'formicarium_cam2') GROUP BY source_name, split"""
+)
+def leakage_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Names in several splits, paths that stand twice, and rows of sources that mustn't be there."""
+    rows = adapters.distinct_images(spark, folder).withColumn("split", name_key(F.col("split_name")))
+    return identity.path_report(rows, "split", "image_filename", "source_name", ["cellar_cam2", "formicarium_cam2"])
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT family_id, image_id, {_HASH} AS h FROM frame_manifest WHERE family_id IS NOT NULL), r AS (SELECT family_id, min(image_id) AS representative, arg_min(h, image_id) AS rh FROM m WHERE h IS NOT NULL GROUP BY family_id)
+    SELECT family_id, representative, image_id, bit_count(xor(h, rh))::INT AS distance FROM m LEFT JOIN r USING (family_id)"""
+)
+def family_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """Members of the curators' families with their distance from the representative."""
+    rows = read_table(spark, folder, "frame_manifest").where(F.col("family_id").isNotNull()).select("family_id", "image_id", hash64(F.col("phash")).alias("h")).distinct()
+    got = identity.families(rows, "family_id", "image_id", "h")
+    return got.select("family_id", "representative", "image_id", F.col("distance").cast("int").alias("distance"))
+
+
+@query(
+    f"""WITH {_IMAGES}, s AS (SELECT image_id, {_SHA.format('image_sha256')} AS sha FROM images), h AS (SELECT image_id % 5000 AS k, upper({_SHA.format('imagesha256')}) AS sha FROM holdout_manifest)
+    SELECT s.image_id, coalesce(bool_and(s.sha = h.sha_low), false) AS matches FROM s LEFT JOIN (SELECT DISTINCT {_SHA.format('imagesha256')} AS sha_low FROM holdout_manifest) h ON s.sha = h.sha_low GROUP BY s.image_id"""
+)
+def manifest_verification(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the file of an image is at hand with its hash, case aside; the held-out hashes stand for files at hand."""
+    own = adapters.distinct_images(spark, folder).select("image_id", sha_key(F.col("image_sha256")).alias("sha256"))
+    held = read_table(spark, folder, "holdout_manifest").select(F.upper(sha_key(F.col("imagesha256"))).alias("sha256")).distinct()
+    at_hand = own.join(held.select(F.col("sha256").alias("s")), F.upper("sha256") == F.col("s"), "left_semi").select("image_id", F.upper("sha256").alias("sha256"))
+    return files.verify_manifest(own, at_hand, "image_id", "sha256")
+
+
+@query(f"""WITH m AS (SELECT DISTINCT {_SHA.format('image_sha256')} AS sha FROM frame_manifest) SELECT count(*) AS checked, count(DISTINCT sha) AS hashes FROM m WHERE sha IS NOT NULL""")
+def sha_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashes held against themselves in capitals; a difference would fail the query."""
+    own = read_table(spark, folder, "frame_manifest").select(sha_key(F.col("image_sha256")).alias("sha")).where(F.col("sha").isNotNull()).distinct()
+    checked = own.select(identity.check_sha(F.col("sha"), F.upper("sha")).alias("sha"))
+    return checked.agg(F.count("sha").alias("checked"), F.count_distinct("sha").alias("hashes"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_quantity <> 10 AS changed_quantity, l_discount <> 0.05 AS changed_discount, l_quantity = 10 AND l_discount = 0.05 AS canonical FROM lineitem"""
+)
+def parameter_overrides(spark: SparkSession, folder: str) -> DataFrame:
+    """Parameters that aren't the canonical ones."""
+    rows = read_table(spark, folder, "lineitem")
+    number = lambda v: (F.col(v) if isinstance(v, str) else F.lit(v)).cast("double")
+    values = F.create_map(F.lit("quantity"), number("l_quantity"), F.lit("discount"), number("l_discount"))
+    standard = F.create_map(F.lit("quantity"), number(10), F.lit("discount"), number(0.05))
+    found = F.map_keys(identity.overrides(values, standard))
+    return rows.select(
+        "l_orderkey", "l_linenumber", F.array_contains(found, "quantity").alias("changed_quantity"), F.array_contains(found, "discount").alias("changed_discount"), (F.size(found) == 0).alias("canonical")
+    )
+
+
+_QUOTA = f"""v AS (SELECT image_id, {_VIDEO} AS video, {_HASH} AS h, row_number() OVER (PARTITION BY {_VIDEO} ORDER BY source_frame_index NULLS FIRST, image_id) - 1 AS i, count(*) OVER (PARTITION BY {_VIDEO}) AS n FROM images),
+    o AS (SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 0.3::DOUBLE), (2, 0.7::DOUBLE), (3, 0.1::DOUBLE), (4, 0.9::DOUBLE)) t("offset", part)),
+    w AS (SELECT video, b AS bin, "offset", floor((b + part) / 8 * n)::BIGINT AS at FROM (SELECT DISTINCT video, n FROM v WHERE video IS NOT NULL), range(8) r(b), o),
+    c AS (SELECT w.video, bin, "offset", image_id, h FROM w JOIN v ON v.video = w.video AND v.i = w.at)"""
+
+
+@query(
+    f"""WITH {_IMAGES}, {_QUOTA} SELECT c.video, c.bin::INT AS bin, min(c."offset") AS "offset", arg_min(c.image_id, c."offset") AS image_id FROM c LEFT JOIN c p ON p.video = c.video AND p.bin = c.bin - 1 AND p."offset" = 0
+    WHERE NOT coalesce(bit_count(xor(c.h, p.h)) < 20, false) GROUP BY c.video, c.bin"""
+)
+def quota_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """One frame per video and eighth of it, of five candidates, unlike the eighth before."""
+    rows = adapters.distinct_images(spark, folder).select("image_id", video_key(F.col("video_filename")).alias("video"), "source_frame_index", hash64(F.col("phash")).alias("h"))
+    got = temporal.quota_sample(rows, "video", ["source_frame_index", "image_id"], "h", 8, (0.5, 0.3, 0.7, 0.1, 0.9), 20)
+    return got.select("video", "bin", "offset", "image_id")
+
+
 # Streams --------------------------------------------------------------------------------------------------------------
 
 
