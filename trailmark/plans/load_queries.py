@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.operators.reject_load import GT_FORMAT, LABEL_FORMAT, load_lines, loaded_rows
-from trailmark.session import read_table
+from trailmark.session import read_table, spread
 
 
 def _rejects(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for fmt in (GT_FORMAT, LABEL_FORMAT):
-        got = load_lines(read_table(spark, folder, fmt.name), fmt).where(F.col("reason").isNotNull())
+        got = load_lines(spread(read_table(spark, folder, fmt.name)), fmt).where(F.col("reason").isNotNull())
         parts.append(got.select(F.lit(fmt.name).alias("table_name"), "line_id", "reason"))
     return parts[0].unionByName(parts[1])
 
@@ -28,11 +28,11 @@ def p1_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_loaded_gt(spark: SparkSession, folder: str) -> DataFrame:
-    return loaded_rows(load_lines(read_table(spark, folder, "gt_lines"), GT_FORMAT), GT_FORMAT)
+    return loaded_rows(load_lines(spread(read_table(spark, folder, "gt_lines")), GT_FORMAT), GT_FORMAT)
 
 
 def p1_loaded_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return loaded_rows(load_lines(read_table(spark, folder, "label_lines"), LABEL_FORMAT), LABEL_FORMAT)
+    return loaded_rows(load_lines(spread(read_table(spark, folder, "label_lines")), LABEL_FORMAT), LABEL_FORMAT)
 
 
 def p1_damage_by_sequence(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,12 +68,39 @@ judged AS (SELECT *, coalesce(fits AND c = 0 AND least(x, y, w, h, x - w / 2, y
 """
 
 
+_FIELD = r"(?:[^\",]*|[ \t\r]*\"(?:[^\"]|\"\")*\"[ \t\r]*)"
+_GT_NAMES, _LABEL_NAMES = GT_FORMAT.columns, LABEL_FORMAT.columns
+
+
+def _number_reasons(names: tuple[str, ...]) -> str:
+    return " ".join(f"WHEN NOT coalesce(regexp_full_match(v[{i + 1}], '{_NUM}') AND isfinite(TRY_CAST(v[{i + 1}] AS DOUBLE)), false) THEN '{n} not a number'" for i, n in enumerate(names))
+
+
+_REASONS = f"""
+WITH gt AS (SELECT line_id, line, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*') AS fits, regexp_extract_all(line || ',', '({_FIELD}),', 1) AS raw FROM gt_lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+gv AS (SELECT line_id, fits, list_transform(raw, lambda f: CASE WHEN trim(f, ' ' || chr(9) || chr(13)) LIKE '"%' THEN trim(replace(regexp_replace(trim(f, ' ' || chr(9) || chr(13)), '^"|"$', '', 'g'), '""', '"'), ' ' || chr(9) || chr(13))
+  ELSE trim(f, ' ' || chr(9) || chr(13)) END) AS v FROM gt),
+gd AS (SELECT *, list_transform(v, lambda x: TRY_CAST(x AS DOUBLE)) AS d FROM gv),
+lv AS (SELECT line_id, contains(line, '"') AS quoted, regexp_split_to_array(trim(line, ' ' || chr(9) || chr(13)), '[ \t\r]+') AS v FROM label_lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+ld AS (SELECT *, list_transform(v, lambda x: TRY_CAST(x AS DOUBLE)) AS d FROM lv),
+r AS (SELECT 'gt_lines' AS table_name, line_id, CASE WHEN NOT fits THEN 'broken quoting' WHEN len(v) < 7 THEN 'missing columns' WHEN len(v) > 7 THEN 'too many columns' {_number_reasons(_GT_NAMES)}
+    WHEN d[1] <> floor(d[1]) THEN 'frame not integral' WHEN d[2] <> floor(d[2]) THEN 'track_id not integral' WHEN d[7] <> floor(d[7]) THEN 'flag not integral'
+    WHEN d[1] < 1 THEN 'frame below 1' WHEN d[5] <= 0 THEN 'width not above 0' WHEN d[6] <= 0 THEN 'height not above 0' END AS reason FROM gd
+  UNION ALL SELECT 'label_lines', line_id, CASE WHEN len(v) < 5 THEN 'missing columns' WHEN len(v) > 5 THEN 'too many columns' {_number_reasons(_LABEL_NAMES)}
+    WHEN NOT regexp_full_match(v[1], '[+-]?[0-9]+') THEN 'class not an integer' WHEN d[1] <> 0 THEN 'class not 0'
+    {' '.join(f"WHEN d[{i}] < -1e-9 OR d[{i}] > 1 + 1e-9 THEN '{n} outside 0 to 1'" for i, n in enumerate(_LABEL_NAMES[1:], 2))} WHEN d[4] <= 0 THEN 'width not above 0' WHEN d[5] <= 0 THEN 'height not above 0'
+    WHEN d[2] - d[4] / 2 < -1e-9 OR d[2] - d[4] / 2 > 1 + 1e-9 THEN 'left edge outside' WHEN d[2] + d[4] / 2 < -1e-9 OR d[2] + d[4] / 2 > 1 + 1e-9 THEN 'right edge outside'
+    WHEN d[3] - d[5] / 2 < -1e-9 OR d[3] - d[5] / 2 > 1 + 1e-9 THEN 'top edge outside' WHEN d[3] + d[5] / 2 < -1e-9 OR d[3] + d[5] / 2 > 1 + 1e-9 THEN 'bottom edge outside' END FROM ld)
+SELECT table_name, line_id, reason FROM r WHERE reason IS NOT NULL"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_rejects, p1_loaded_gt, p1_loaded_labels, p1_damage_by_sequence)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_rejects": _REASONS,
         "p1_found": f"SELECT 'gt_lines' AS table_name, line_id FROM ({_GT} SELECT line_id FROM judged WHERE NOT ok) "
         f"UNION ALL SELECT 'label_lines' AS table_name, line_id FROM ({_LABEL} SELECT line_id FROM judged WHERE NOT ok)",
         "p1_loaded_gt": f"{_GT} SELECT line_id, v0::BIGINT AS frame, v1::BIGINT AS track_id, v2 AS x, v3 AS y, v4 AS width, v5 AS height, v6::BIGINT AS flag FROM judged WHERE ok",
