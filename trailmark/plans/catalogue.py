@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from trailmark.functions.hashing import hash64, name_key, sha_key, video_key
 from trailmark.operators import evaluation, identity, labels, matching, motion, statistics, temporal, tracking
 from trailmark.plans import adapters, pipelines
 from trailmark.plans.pipelines import roi_from_text
-from trailmark.session import read_table, shared_folder, spread
+from trailmark.session import read_table, scratch_path, spread
 from trailmark.sources import files
 from trailmark.sources.files import SequenceInfo
 from trailmark.streaming.motion import activity_windows, detection_totals, running_summary
@@ -993,7 +991,7 @@ def quota_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, source: DataFrame, build, mode: str, name: str) -> DataFrame:
     """Run a streaming plan over a table written to the shared folder until all of it is read; its last state per key."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     source.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
     out = f"{path}/out"

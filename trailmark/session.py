@@ -42,6 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    system, place = file_system(spark, path)
+    system.deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
@@ -50,9 +58,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     driver's JVM ends, or before by :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
-    system, place = file_system(spark, path)
-    system.deleteOnExit(place)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch = path
