@@ -185,7 +185,7 @@ def test_repetition_against_brute_force(spark):
     df = docs(spark, rows)
     got = Counter((r.doc_id, r.n_words, r.runs, r.repeated_runs) for r in repetition.measure(df).collect())
     assert got == Counter((i, *share(t)) for i, t, _ in rows)
-    flagged = {r.doc_id for r in repetition.flag(df).where("repeated_runs * 10 >= runs * 3").collect()}
+    flagged = {r.doc_id for r in repetition.flag(df, ceiling=0.3).where("repeated_runs * 10 >= runs * 3").collect()}
     assert flagged == {i for i, t, _ in rows if share(t)[0] >= 20 and share(t)[2] * 10 >= share(t)[1] * 3}
     assert repetition.flag(df.limit(0)).count() == 0
 
@@ -195,8 +195,13 @@ def test_thresholds_adapt(spark):
     clean = [(i, " ".join(f"u{random.randrange(10**6)}" for _ in range(60)), "clean") for i in range(300)]
     spam = [(1000 + i, " ".join([f"u{i}"] + "buy now cheap ants today".split() * 10), "spam") for i in range(300)]
     odd = [(5000, " ".join([f"u{random.randrange(10**6)}" for _ in range(60)] + "a b c d e f g h i j".split() * 2), "clean")]
-    got = {r.doc_id: r.threshold for r in repetition.flag(docs(spark, clean + spam + odd)).collect()}
+    got = {r.doc_id: r.threshold for r in repetition.flag(docs(spark, clean + spam + odd), ceiling=0.3).collect()}
     assert 5000 in got and got[5000] < 0.3 and sum(k >= 1000 and k < 2000 for k in got) == 300 and got[1000] == 0.3
+    # Without a ceiling the quantile of the group decides, and equal shares reach it.
+    alone = {r.doc_id: r.threshold for r in repetition.flag(docs(spark, clean + spam + odd)).collect()}
+    assert 5000 in alone and alone[5000] < 0.3 and alone[1000] > 0.8 and sum(1000 <= k < 2000 for k in alone) == 300
+    check = repetition.threshold_check(docs(spark, clean + spam + odd)).collect()
+    assert len(check) == 6 and all(r.within for r in check)
 
 
 def test_repeated_sentences_and_paragraphs_are_flagged(spark):
@@ -208,7 +213,7 @@ def test_repeated_sentences_and_paragraphs_are_flagged(spark):
     paragraph = "Antennae touch softly tonight"
     rows += [(1001, "\n\n".join(p for _ in range(6) for p in (" ".join(words(5)), paragraph)), "s"), (1002, "Short ant. Short ant.", "s")]
     got = {r.doc_id: r for r in repetition.flag(docs(spark, clean + rows)).collect()}
-    assert set(got) == {1000, 1001} and all(r.run_share < r.threshold for r in got.values())
+    assert set(got) == {1000, 1001} and all(r.run_share == 0 == r.threshold for r in got.values())  # no run repeats, so none is flagged for runs
     assert got[1000].sentence_share >= got[1000].sentence_threshold and got[1001].paragraph_share >= got[1001].paragraph_threshold
     assert repetition.flag(docs(spark, clean + rows), measures=("run_share",)).count() == 0
 
@@ -232,7 +237,7 @@ def test_mixture(spark):
     for s in ("big", "mid"):
         n = sum(r.copies for r in copies if r.source == s)
         assert abs(n - report[s].expected_copies * report[s].documents) < 1
-        assert abs(report[s].tokens_beyond_goal) < 0.12 * report[s].tokens_out
+        assert abs(report[s].tokens_beyond_goal) < 0.02 * report[s].tokens_out
         low = int(report[s].expected_copies)
         assert {r.copies for r in copies if r.source == s} <= {low, low + 1}
     again = {(r.doc_id, r.n_tokens, r.copies) for r in mixing.mix_sources(docs(spark, rows), targets).copies.collect()}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import qdigest
+from trailmark.session import materialize, scratch_path
 
 #: Compression of the digests: a rank is off by at most 16 / 3200 = 0.5 % of the group's count.
 K = 3200
@@ -28,21 +29,66 @@ def measures(boxes: DataFrame, *columns: str) -> DataFrame:
     return boxes.where(both).select(*columns, F.explode(pairs).alias("m")).select("m.measure", "m.value", *columns)
 
 
+KEYS = ["measure", "source_name", "split_name"]
+
+
 def daily_digests(boxes: DataFrame, k: int = K) -> DataFrame:
     """Digests per labelling day, source, split and measure: the stored form that later days are added to."""
     columns = ["source_name", "split_name", "labelled_at"]
     rows = measures(distinct_boxes(boxes, *columns, "width", "height"), *columns).withColumn("day", F.to_date("labelled_at"))
-    return qdigest.build(rows, ["day", "measure", "source_name", "split_name"], "value", k)
+    return qdigest.build(rows, ["day", *KEYS], "value", k)
 
 
-def percentiles(boxes: DataFrame, probabilities: list[float] | None = None, k: int = K) -> DataFrame:
-    """(measure, source_name, split_name, n, p, value, rank_error), the digests of all days merged.
+def store_days(boxes: DataFrame, folder: str, load: int, k: int = K) -> None:
+    """Write the digests of the labelling days of ``boxes`` as a numbered load below ``folder``.
+
+    A load has whole days: a day that comes again, with late boxes say, is built from all its boxes and takes the place
+    of what earlier loads have of it.
+    """
+    daily_digests(boxes, k).write.mode("overwrite").parquet(f"{folder}/load={load}")
+
+
+def stored_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all stored days, of each day the latest load."""
+    every = spark.read.parquet(folder)
+    latest = every.groupBy(F.col("day").alias("__day")).agg(F.max("load").alias("__load"))
+    return every.join(latest, F.col("day").eqNullSafe(F.col("__day")) & (F.col("load") == F.col("__load"))).drop("__day", "__load", "load")
+
+
+def stored_percentiles(spark: SparkSession, folder: str, probabilities: list[float] | None = None, k: int = K) -> DataFrame:
+    """(measure, source_name, split_name, n, p, value, rank_error) from stored digests alone, all days merged.
 
     Every value has a rank within ``rank_error`` of p * n, up to the width of a leaf (0.14 % of the value).
+    """
+    return qdigest.quantiles(qdigest.merge(stored_digests(spark, folder), KEYS, k), KEYS, probabilities or PROBABILITIES, k).drop("edge")
+
+
+def percentiles(boxes: DataFrame, probabilities: list[float] | None = None, k: int = K) -> DataFrame:
+    """:func:`stored_percentiles` of the days of ``boxes``, stored in the shared folder first.
+
     Null names form groups of their own; an empty table gives no groups.
     """
-    keys = ["measure", "source_name", "split_name"]
-    return qdigest.quantiles(qdigest.merge(daily_digests(boxes, k), keys, k), keys, probabilities or PROBABILITIES, k)
+    spark = boxes.sparkSession
+    folder = scratch_path(spark, "digests")
+    store_days(boxes, folder, 0, k)
+    return stored_percentiles(spark, folder, probabilities, k)
+
+
+def rank_check(boxes: DataFrame, probabilities: list[float] | None = None, k: int = K) -> DataFrame:
+    """(measure, source_name, split_name, p, n, within): whether the rank of each stated value is within its bound, by
+    counting all values below and within its leaf."""
+    stated = materialize(percentiles(boxes, probabilities, k), "stated")
+    columns = ["source_name", "split_name"]
+    values = measures(distinct_boxes(boxes, *columns, "width", "height"), *columns).withColumn("__leaf", qdigest.leaf(F.col("value")))
+    counts = values.groupBy("__leaf", *KEYS).agg(F.count("*").alias("__c"))
+    asked = stated.select(*[F.col(c).alias(f"__{c}") for c in KEYS], "p", "n", "rank_error", qdigest.leaf(F.col("value")).alias("__at"))
+    same = (F.col("measure") == F.col("__measure")) & F.col("source_name").eqNullSafe(F.col("__source_name")) & F.col("split_name").eqNullSafe(F.col("__split_name"))
+    sums = counts.join(asked, same).groupBy(*KEYS, "p", "n", "rank_error").agg(
+        F.coalesce(F.sum(F.when(F.col("__leaf") < F.col("__at"), F.col("__c"))), F.lit(0)).alias("below"), F.coalesce(F.sum(F.when(F.col("__leaf") <= F.col("__at"), F.col("__c"))), F.lit(0)).alias("upto")
+    )
+    rank = F.greatest(F.ceil(F.col("p") * F.col("n")), F.lit(1))
+    within = (F.col("below") + 1 - F.col("rank_error") <= rank) & (rank <= F.col("upto") + F.col("rank_error"))
+    return sums.select(*KEYS, "p", "n", within.alias("within"))
 
 
 def batch_check(boxes: DataFrame, published: DataFrame, k: int = K) -> DataFrame:

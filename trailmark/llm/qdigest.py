@@ -35,8 +35,17 @@ def leaf(value: Column) -> Column:
 
 def leaf_value(leaf_index: Column) -> Column:
     """The middle of a leaf on the logarithmic scale."""
+    return _within(leaf_index, 0.5)
+
+
+def leaf_edge(leaf_index: Column) -> Column:
+    """The edge of a leaf towards zero: values of the leaf are at least as far from it."""
+    return _within(leaf_index, 1.0)
+
+
+def _within(leaf_index: Column, back: float) -> Column:
     size = F.abs(leaf_index - F.lit(_HALF))
-    middle = F.pow(F.lit(2.0), (size - F.lit(0.5)) / F.lit(_PER_OCTAVE) + F.lit(_LOWEST))
+    middle = F.pow(F.lit(2.0), (size - F.lit(back)) / F.lit(_PER_OCTAVE) + F.lit(_LOWEST))
     return F.when(size == 0, F.lit(0.0)).when(leaf_index > _HALF, middle).otherwise(-middle)
 
 
@@ -128,7 +137,8 @@ def merge(digests: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def quantiles(digests: DataFrame, keys: list[str], probabilities: list[float], k: int) -> DataFrame:
-    """(keys, n, p, value, rank_error) for each group and probability; ``rank_error`` is the bound as a count.
+    """(keys, n, p, value, edge, rank_error) for each group and probability; ``rank_error`` is the bound as a count and
+    ``edge`` the least size of the value's leaf.
 
     A group's nodes are few (about 3 k), so a window over them is bounded.
     """
@@ -142,4 +152,4 @@ def quantiles(digests: DataFrame, keys: list[str], probabilities: list[float], k
     rank = F.greatest(F.ceil(F.col("p") * F.col("n")), F.lit(1))
     hit = asked.where((F.col("__upto") >= rank) & (F.col("__upto") - F.col("count") < rank))
     bound = F.ceil(F.col("n") * F.lit(LEVELS) / F.lit(k)).cast("bigint")
-    return hit.select(*keys, "n", "p", leaf_value(F.col("__high")).alias("value"), bound.alias("rank_error"))
+    return hit.select(*keys, "n", "p", leaf_value(F.col("__high")).alias("value"), leaf_edge(F.col("__high")).alias("edge"), bound.alias("rank_error"))

@@ -24,8 +24,8 @@ from trailmark.session import materialize
 _MEASURES = "n_words bigint, runs bigint, repeated_runs bigint, sentence_share double, paragraph_share double"
 #: Measures of repetition and the columns of their thresholds.
 SHARES = {"run_share": "threshold", "sentence_share": "sentence_threshold", "paragraph_share": "paragraph_threshold"}
-_SENTENCE = re.compile(r"[.!?\n]+\s*")
-_PARAGRAPH = re.compile(r"\n\s*\n")
+_SENTENCE = re.compile(r"[.!?\n]+[ \t\r\n\f]*")
+_PARAGRAPH = re.compile(r"\n[ \t\r\n\f]*\n")
 
 
 def _repeated_share(pieces: list[str]) -> float:
@@ -87,29 +87,46 @@ def measure(documents: DataFrame, run: int = 5, doc_id: str = "doc_id", text: st
 
 
 def thresholds(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.99, k: int = 1600, measures: tuple[str, ...] = tuple(SHARES)) -> DataFrame:
-    """A threshold per group and measure: the given quantile of each of ``measures``, from q-digests (groups, measure, n, threshold)."""
+    """A threshold per group and measure: the given quantile of each of ``measures``, from q-digests
+    (groups, measure, n, threshold, rank_error). It is the lower edge of the quantile's leaf, so that equal shares reach it."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("share")) for m in measures]))
     shares = measured.where(F.col("runs") > 0).select(*groups, each.alias("m")).select(*groups, "m.*")
     digest = qdigest.build(shares, [*groups, "measure"], "share", k)
-    return qdigest.quantiles(digest, [*groups, "measure"], [quantile], k).select(*groups, "measure", "n", F.col("value").alias("threshold"))
+    return qdigest.quantiles(digest, [*groups, "measure"], [quantile], k).select(*groups, "measure", "n", F.col("edge").alias("threshold"), "rank_error")
 
 
-def flag(documents: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.99, floor: float = 0.05, ceiling: float = 0.3, min_words: int = 20, measures: tuple[str, ...] = tuple(SHARES)) -> DataFrame:
+def threshold_check(documents: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.99, k: int = 1600) -> DataFrame:
+    """(groups, measure, n, within): whether the rank of each threshold is within the digest's bound, by counting all shares."""
+    measured = materialize(measure(documents, groups=groups), "repetition")
+    found = thresholds(measured, groups, quantile, k).select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("measure").alias("__measure"), "n", "threshold", "rank_error")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("share")) for m in SHARES]))
+    shares = measured.where(F.col("runs") > 0).select(*groups, each.alias("m")).select(*groups, "m.*")
+    counts = shares.groupBy(*groups, "measure", qdigest.leaf(F.col("share")).alias("leaf")).agg(F.count("*").alias("c"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in (*groups, "measure")])
+    # A leaf's edge falls to the leaf or, rounded, to the one before.
+    at = qdigest.leaf(F.col("threshold") * F.lit(1 + 1e-9))
+    joined = counts.join(found, same).withColumn("at", at)
+    total = lambda some: F.coalesce(F.sum(F.when(some, F.col("c"))), F.lit(0))
+    sums = joined.groupBy(*groups, "measure", "n", "rank_error").agg(total(F.col("leaf") < F.col("at")).alias("below"), total(F.col("leaf") <= F.col("at")).alias("upto"))
+    rank = F.greatest(F.ceil(F.lit(quantile) * F.col("n")), F.lit(1))
+    return sums.select(*groups, "measure", "n", ((F.col("below") + 1 - F.col("rank_error") <= rank) & (rank <= F.col("upto") + F.col("rank_error"))).alias("within"))
+
+
+def flag(documents: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.99, ceiling: float | None = None, min_words: int = 20, measures: tuple[str, ...] = tuple(SHARES)) -> DataFrame:
     """Documents of which a repeated share reaches its threshold in their group, with the measures and the thresholds.
 
     The thresholds are ``threshold`` of ``run_share``, ``sentence_threshold`` and ``paragraph_threshold``; one of
-    ``measures`` that reaches its own is enough. The group's quantile is held between ``floor`` (a clean group flags nobody for a chance repeat) and
-    ``ceiling`` (a group that is mostly spam can't hide its spam). Null languages and sources form groups of
-    their own. The measures are written once, as both the sketches and the filter read them.
+    ``measures`` that is above 0 and reaches its own is enough. They are quantiles of the group alone; a ``ceiling``
+    keeps them from rising above it, for callers to whom a share is large in any group. Null languages and sources form
+    groups of their own. The measures are written once, as both the sketches and the filter read them.
     """
     measured = materialize(measure(documents, groups=groups), "repetition")
-    cut = F.greatest(F.lit(floor), F.least(F.lit(ceiling), F.col("threshold")))
+    cut = F.col("threshold") if ceiling is None else F.least(F.lit(ceiling), F.col("threshold"))
     own = [F.max(F.when(F.col("measure") == m, cut)).alias(SHARES[m]) for m in measures]
     limits = thresholds(measured, groups, quantile, measures=measures).groupBy(*groups).agg(*own)
     limits = limits.select(*[F.col(g).alias(f"__{g}") for g in groups], *[SHARES[m] for m in measures])
-    same = F.lit(True)
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    joined = measured.where((F.col("n_words") >= min_words) & (F.greatest(*[F.col(m) for m in measures], F.lit(0.0)) >= F.lit(floor))).join(limits, same)
-    reached = reduce(Column.__or__, [F.col(m) >= F.col(SHARES[m]) for m in measures])
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups])
+    some = F.greatest(*[F.col(m) for m in measures], F.lit(0.0)) > 0
+    joined = measured.where((F.col("n_words") >= min_words) & some).join(limits, same)
+    reached = reduce(Column.__or__, [(F.col(m) > 0) & (F.col(m) >= F.col(SHARES[m])) for m in measures])
     return joined.where(reached).drop(*[f"__{g}" for g in groups])
