@@ -15,18 +15,42 @@ def test_keys(spark):
     assert (r.s, r.v) == ("ab", "y.mp4")
 
 
-def test_hamming_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("equal", [1, 2, 3, 4])
+def test_hamming_pairs_against_brute_force(spark, monkeypatch, equal):
+    monkeypatch.setattr(identity, "_blocks", lambda n, max_bits, bits: (max_bits + equal, equal))
     random.seed(1)
     base = [random.getrandbits(64) for _ in range(60)]
     values = base + [b ^ sum(1 << random.randrange(64) for _ in range(random.randrange(5))) for b in base]
     signed = [v - (1 << 64) if v >> 63 else v for v in values] + [None, 5, 5]
     df = spark.createDataFrame([(v,) for v in signed], "h bigint")
-    got = {(r.hash_a, r.hash_b): r.distance for r in identity.hamming_pairs(df, "h", 4).collect()}
+    rows = identity.hamming_pairs(df, "h", 4).collect()
+    got = {(r.hash_a, r.hash_b): r.distance for r in rows}
+    assert len(got) == len(rows)
     distinct = sorted({v for v in signed if v is not None})
     want = {(a, b): d for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= 4}
     assert got == want
 
 
+def test_blocks_grow_with_the_number_of_hashes():
+    assert [identity._blocks(n, 4, 64)[1] for n in (10**4, 10**7, 10**9, 10**11)] == sorted(identity._blocks(n, 4, 64)[1] for n in (10**4, 10**7, 10**9, 10**11))
+    assert identity._blocks(10**3, 4, 64) == (5, 1) and identity._blocks(10**10, 4, 64)[1] >= 3
+
+
+def test_percentiles_and_thirds(spark):
+    random.seed(6)
+    rows = [(random.choice(["a", None, "c"]), random.choice([None, random.random(), 0.5])) for _ in range(400)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.p50, r.p90) for r in ranking.exact_percentiles(df, ["k"], {"p50": ("v", 0.5), "p90": ("v", 0.9)}).collect()}
+    import numpy as np
+
+    for k in ("a", None, "c", "one"):
+        values = [v for g, v in rows if g == k and v is not None]
+        assert got[k] == pytest.approx((np.percentile(values, 50), np.percentile(values, 90)))
+    assert "none" not in got and ranking.exact_percentiles(df.limit(0), ["k"], {"p": ("v", 0.5)}).count() == 0
+    whole = ranking.exact_percentiles(df, [], {"p": ("v", 0.25)}).first().p
+    assert whole == pytest.approx(np.percentile([v for _, v in rows if v is not None], 25))
+
+
 def test_registry_and_leakage(spark):
     models = spark.createDataFrame([("AB",), ("zz",)], "sha string")
     registry = spark.createDataFrame([("ab", "m1")], "sha string, name string")

@@ -97,9 +97,17 @@ def families(members: DataFrame, family: str, item: str, hash_: str) -> DataFram
 
 
 def set_hash(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One SHA-256 over the sorted distinct values of each key and their number."""
-    values = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("__v"))
-    return values.select(*keys, F.size("__v").cast("bigint").alias("files"), F.sha2(F.array_join("__v", "\n"), 256).alias("content_hash"))
+    """One SHA-256 over the distinct values of each key, and their number.
+
+    Values are put into 4,096 buckets by the first digits of their own hash; each bucket's sorted values are hashed,
+    then the buckets' hashes in order. So no task holds more than a small part of a key's values.
+    """
+    text = F.col(value).cast("string")
+    placed = rows.where(F.col(value).isNotNull()).select(*keys, text.alias("__v"), F.substring(F.sha2(text, 256), 1, 3).alias("__b")).distinct()
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
+    buckets = placed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"), joined("__v").alias("__h"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("__b", "__h"))), lambda s: s["__h"])
+    return buckets.groupBy(*keys).agg(F.sum("__n").alias("files"), F.sha2(F.array_join(ordered, "\n"), 256).alias("content_hash"))
 
 
 def split_overlap(rows: DataFrame, split: str, name: str) -> DataFrame:

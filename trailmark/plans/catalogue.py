@@ -663,8 +663,9 @@ def phash_distance_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH i AS (SELECT DISTINCT {_VIDEO} AS video, {_SHA.format('image_sha256')} AS sha FROM frame_manifest)
-    SELECT video, count(*) AS files, sha256(string_agg(sha, chr(10) ORDER BY sha)) AS content_hash FROM i WHERE sha IS NOT NULL GROUP BY video"""
+    f"""WITH i AS (SELECT DISTINCT {_VIDEO} AS video, {_SHA.format('image_sha256')} AS sha FROM frame_manifest),
+    b AS (SELECT video, substr(sha256(sha), 1, 3) AS bucket, count(*) AS n, sha256(string_agg(sha, chr(10) ORDER BY sha)) AS h FROM i WHERE sha IS NOT NULL GROUP BY ALL)
+    SELECT video, sum(n)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS content_hash FROM b GROUP BY video"""
 )
 def content_hash(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "frame_manifest").select(video_key(F.col("video_filename")).alias("video"), sha_key(F.col("image_sha256")).alias("sha"))
