@@ -90,6 +90,14 @@ def test_overlaps_against_brute_force(spark, monkeypatch, hot):
     assert overlaps.overlapping_images(frame.limit(0), hold.limit(0)).count() == 0
 
 
+def test_residual_norm_leaves_terms_out(spark):
+    # Ten equal terms, three of which must be shared: two may be left out, and all of a vector with two live terms.
+    entry = "named_struct('weight', {w}D, 'other', {w}D)".format(w=10**-0.5)
+    for n, left in ((10, 8), (3, 1), (2, 0), (1, 0)):
+        terms = spark.sql(f"select array({', '.join([entry] * n)}) t")
+        assert terms.select(F.size(cosine._prefix(F.col("t"), overlaps.LEAST_COSINE)).alias("n")).first().n == left
+
+
 def test_cosine_join_against_brute_force(spark):
     random.seed(4)
 

@@ -54,6 +54,21 @@ def test_boxes_edge_cases(spark):
     assert boxes.percentiles(df.limit(0)).count() == 0
 
 
+def test_stored_days_are_replaced_by_later_loads(spark, tmp_path):
+    schema = "box_id bigint, source_name string, split_name string, width double, height double, labelled_at timestamp_ntz, loaded_at timestamp_ntz"
+    rows = spark.range(60).selectExpr(
+        "id box_id", "'s' source_name", "null split_name", "0.1D + id / 100D width", "0.5D height", "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(int(id % 3)) labelled_at", "timestamp_ntz'2026-02-01 00:00:00' loaded_at"
+    ).selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in schema.split(", ")])
+    late = rows.where("box_id % 3 = 1").unionByName(rows.where("box_id % 3 = 1 and box_id < 30").withColumn("box_id", F.col("box_id") + 1000))
+    boxes.store_days(rows.where("box_id < 31"), str(tmp_path), 0)
+    boxes.store_days(rows, str(tmp_path), 1)
+    boxes.store_days(late, str(tmp_path), 2)  # one of the days once more, with ten boxes that came late
+    got = {(r.measure, r.n) for r in boxes.stored_percentiles(spark, str(tmp_path), [0.5]).collect()}
+    assert got == {("width", 70), ("area", 70)}
+    check = boxes.rank_check(rows, [0.1, 0.5, 0.9]).collect()
+    assert len(check) == 6 and all(r.within for r in check)
+
+
 def test_small_groups_are_exact_to_a_leaf(spark):
     random.seed(4)
     values = [random.random() for _ in range(101)]

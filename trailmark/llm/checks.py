@@ -47,7 +47,9 @@ def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
     rows = manifest.select("image_id", video_key(F.col("video_filename")).alias("video"), splits.stratum_key(F.col("subdomain_group")).alias("subdomain_group"), F.col("temporal_bin").cast("bigint").alias("temporal_bin")).distinct()
     planned = got.sample.where(F.col("temporal_bin").isNotNull())
     taken = planned.groupBy("video", *name).agg(F.count("*").alias("taken"))
-    have = rows.groupBy("video", *name).agg(F.count_distinct("image_id").alias("supply"))
+    # Only bins of a video's own plan are cells; its other images stand in none.
+    inside = rows.join(sampling.video_plans(manifest), "video").where((F.col("temporal_bin") >= 0) & (F.col("temporal_bin") < F.col("plan")))
+    have = inside.groupBy("video", *name).agg(F.count_distinct("image_id").alias("supply"))
     most = taken.groupBy(*name).agg(F.max("taken").alias("most"))
     uneven = have.join(most, name).join(taken, ["video", *name], "left").where(F.coalesce("taken", F.lit(0)) < F.least("supply", F.col("most") - 1))
     foreign = got.sample.join(rows.select("image_id", "subdomain_group"), ["image_id", "subdomain_group"], "left_anti")
