@@ -53,11 +53,10 @@ def distinct_truth(totals_: DataFrame, extra_rows: DataFrame, keys: list[str]) -
 def thirds(rows: DataFrame, keys: list[str], order: list[str], names: tuple[str, str, str], out: str) -> DataFrame:
     """Add ``out``: the first floor(n / 3) rows of each key by ``order`` have the first name, those up to floor(2 n / 3)
     the second, the rest the third. Ranks span partitions, so a key may have any number of rows."""
-    ranked = exact_rank(rows, keys, order, "__i")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    ranked = exact_rank(rows, keys, order, "__i", "__n")
     i, n = F.col("__i") - 1, F.col("__n")
     group = F.when(i < F.floor(n / 3), names[0]).when(i < F.floor(n * 2 / 3), names[1]).otherwise(names[2])
-    return null_safe_join(ranked, sizes, keys).withColumn(out, group).drop("__i", "__n")
+    return ranked.withColumn(out, group).drop("__i", "__n")
 
 
 def density_groups(frames: DataFrame, sequence: list[str], image: str) -> DataFrame:

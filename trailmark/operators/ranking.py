@@ -13,27 +13,30 @@ from pyspark.sql import functions as F
 from trailmark.session import materialize
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``value`` (integers) over the rows of the group up to and including each row.
+def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, total: str | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``value`` (integers) over the rows of the group up to and including each row, and, if
+    ``total`` names a column, the sum over the whole group.
 
     ``order`` must be total within a group for a repeatable result. Null keys form one group. Null
     values count as 0. An empty table stays empty. Columns named like ``out`` are replaced.
     """
-    rows = df.drop(out).withColumn("__v", F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint")))
+    rows = df.drop(out, *([total] if total else [])).withColumn("__v", F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint")))
     ranged = rows.repartitionByRange(*keys, *order).withColumn("__pid", F.spark_partition_id())
     # The bounds of a range partitioning are sampled: write once, so that every reader sees the same ones.
     placed = materialize(ranged, "prefix")
     part_key = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     totals = placed.groupBy(F.col("__pid").alias("__p"), *part_key).agg(F.sum("__v").alias("__s"))
     before = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__p")
-    offsets = totals.withColumn("__before", F.sum("__s").over(before) - F.col("__s")).drop("__s")
+    whole = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))])
+    offsets = totals.withColumn("__before", F.sum("__s").over(before) - F.col("__s")).withColumn("__total", F.sum("__s").over(whole)).drop("__s")
     inside = Window.partitionBy("__pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumn("__in", F.sum("__v").over(inside))
     same = F.col("__pid") == F.col("__p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = summed.join(offsets, same)
-    return joined.withColumn(out, F.col("__in") + F.col("__before")).select(*[c for c in df.columns if c != out], out)
+    joined = summed.join(offsets, same).withColumn(out, F.col("__in") + F.col("__before"))
+    more = [F.col("__total").alias(total)] if total else []
+    return joined.select(*[c for c in df.columns if c not in (out, total)], out, *more)
 
 
 def null_safe_join(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,10 +60,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     columns = sorted({c for c, _ in wanted.values()})
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("__m"), F.col(c).cast("double").alias("__value")) for c in columns]))
     values = df.select(*keys, each.alias("__e")).select(*keys, "__e.*").where(F.col("__value").isNotNull())
-    ranked = exact_rank(values, [*keys, "__m"], ["__value"], "__i")
-    ranked = materialize(ranked, "ranked")
-    sizes = ranked.groupBy(*keys, "__m").agg(F.max("__i").alias("__n"))
-    rows = null_safe_join(ranked, sizes, [*keys, "__m"])
+    rows = exact_rank(values, [*keys, "__m"], ["__value"], "__i", "__n")
     place = lambda p: F.lit(p) * (F.col("__n") - 1)
     near = lambda p: (F.col("__i") - 1 == F.floor(place(p))) | (F.col("__i") - 1 == F.ceil(place(p)))
     some = F.lit(False)
@@ -77,6 +77,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     return kept.groupBy(*keys).agg(*[value(c, p).alias(name) for name, (c, p) in wanted.items()])
 
 
-def exact_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
-    """Rank from 1 within ``keys`` by ``order``; the order must be total for a repeatable result."""
-    return prefix_sum(df, keys, order, F.lit(1), out)
+def exact_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rank", total: str | None = None) -> DataFrame:
+    """Rank from 1 within ``keys`` by ``order``, and the group's rows as ``total``; the order must be total for a
+    repeatable result."""
+    return prefix_sum(df, keys, order, F.lit(1), out, total)

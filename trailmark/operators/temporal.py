@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.numeric import half_even
-from trailmark.operators.ranking import exact_rank, null_safe_join
+from trailmark.operators.ranking import exact_rank
+from trailmark.session import materialize
 
 #: Fixed value: frame number and time in the names of extracted frames.
 _NAME = r"_frame_(\d+)_t(\d+)[-.](\d+)"
@@ -88,8 +89,7 @@ def temporal_split(rows: DataFrame, stream: list[str], order: list[str], train_f
     if gap < 0:
         raise ValueError("gap must not be negative")
     # Ranks span partitions: a stream may have any number of rows.
-    ranked = exact_rank(rows, stream, order, "__i").withColumn("__i", F.col("__i") - 1)
-    rows = null_safe_join(ranked, rows.groupBy(*stream).agg(F.count("*").alias("__n")), stream)
+    rows = exact_rank(rows, stream, order, "__i", "__n").withColumn("__i", F.col("__i") - 1)
     cut = F.greatest(F.lit(1), F.least(F.col("__n") - 1, half_even(F.col("__n") * F.lit(train_fraction))))
     g = F.when((F.lit(gap) > 0) & (F.col("__n") > 2), F.least(F.lit(gap).cast("bigint"), F.col("__n") - 2)).otherwise(F.lit(0).cast("bigint"))
     train_end = F.when(g > 0, F.greatest(F.lit(1), cut - F.floor(g / 2))).otherwise(cut)
@@ -105,8 +105,9 @@ def quota_sample(frames: DataFrame, video: str, order: list[str], hash_: str, bi
     hash is within ``least_bits`` - 1 bits of the first candidate of the bin before. A bin may stay empty. Frames
     without a hash are never near.
     """
-    placed = exact_rank(frames, [video], order, "__i").withColumn("__i", F.col("__i") - 1)
-    totals = frames.groupBy(video).agg(F.count("*").alias("__n"))
+    placed = materialize(exact_rank(frames, [video], order, "__i", "__n").withColumn("__i", F.col("__i") - 1), "placed")
+    totals = placed.where(F.col("__i") == 0).select(video, "__n")
+    placed = placed.drop("__n")
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("bin"), F.lit(k).alias("offset"), F.lit((b + o) / bins).alias("part")) for b in range(bins) for k, o in enumerate(offsets)]))
     wanted = totals.where(F.col(video).isNotNull()).select(F.col(video).alias("__v"), "__n", each.alias("w")).select("__v", "w.bin", "w.offset", F.floor(F.col("w.part") * F.col("__n")).alias("__at"))
     found = placed.join(wanted, (F.col(video) == F.col("__v")) & (F.col("__i") == F.col("__at"))).drop("__v", "__at", "__i")
