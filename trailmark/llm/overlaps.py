@@ -24,9 +24,9 @@ _TERM = "array<struct<term: bigint, weight: double, parts: array<bigint>>>"
 
 
 def images(manifest: DataFrame, holdout: DataFrame) -> DataFrame:
-    """(image_id, side, split, source_name, sha, phash), distinct; ``side`` is train or evaluation, holdout's split is holdout.
+    """(image_id, side, split, source_name, sha, phash) of all rows; ``side`` is train or evaluation, holdout's split is holdout.
 
-    Images of other splits and null ids are left out.
+    Images of other splits and null ids are left out; an image stands as often as it was delivered.
     """
     split = name_key(F.col("split_name"))
     side = F.when(split == "train", "train").when(split.isin(*EVALUATION), "evaluation")
@@ -36,7 +36,7 @@ def images(manifest: DataFrame, holdout: DataFrame) -> DataFrame:
     held = holdout.select(
         "image_id", F.lit("evaluation").alias("side"), F.lit("holdout").alias("split"), "source_name", sha_key(F.col("imagesha256")).alias("sha"), hash64(F.col("phash")).alias("phash")
     )
-    return own.unionByName(held).where(F.col("image_id").isNotNull()).distinct()
+    return own.unionByName(held).where(F.col("image_id").isNotNull())
 
 
 #: Blocks of a hash by their first bit, and their end.
@@ -97,9 +97,13 @@ def overlapping_images(manifest: DataFrame, holdout: DataFrame, max_bits: int =
     """
     rows = materialize(images(manifest, holdout), "images")
     pairs = materialize(key_pairs(rows, max_bits), "pairs")
-    train = member_chunks(members(rows.where(F.col("side") == "train")).select("key", "image_id").distinct(), "key", "image_id")
-    evaluation = member_chunks(members(rows.where(F.col("side") == "evaluation")).select("key", "image_id").distinct(), "key", "image_id")
-    out = expand_pairs(pairs, train, evaluation).where(F.col("a") != F.col("b"))
+
+    def chunks(side: str, key: str) -> DataFrame:
+        # Only images whose SHA or hash stands in a pair go on.
+        own = members(rows.where(F.col("side") == side)).select("key", "image_id").join(pairs.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+        return member_chunks(own.distinct(), "key", "image_id")
+
+    out = expand_pairs(pairs, chunks("train", "key_a"), chunks("evaluation", "key_b")).where(F.col("a") != F.col("b"))
     return out.groupBy(F.col("a").alias("train_id"), F.col("b").alias("evaluation_id")).agg(F.bool_or(F.col("bits").isNull()).alias("same_sha"), F.min("bits").alias("bits"))
 
 
