@@ -47,10 +47,10 @@ def test_leaves_are_monotone_and_narrow(spark):
 
 def test_boxes_edge_cases(spark):
     schema = "box_id bigint, source_name string, split_name string, width double, height double, labelled_at timestamp, loaded_at timestamp, value double, measure string, node int"
-    rows = [(1, "s", None, 0.5, 0.5), (1, "s", None, 0.5, 0.5), (2, None, "t", 0.25, 0.5), (3, "s", None, float("nan"), 0.5), (4, "s", None, None, 0.5), (None, "s", None, 0.1, 0.1), (5, "s", None, -0.5, 0.0)]
+    rows = [(1, "s", None, 0.5, 0.5), (1, "s", None, 0.5, 0.5), (2, None, "t", 0.25, 0.5), (3, "s", None, float("nan"), 0.5), (4, "s", None, None, 0.5), (None, "s", None, 0.1, 0.1), (5, "s", None, -0.5, 0.0), (6, "i", "t", float("inf"), 0.0)]
     df = spark.createDataFrame([(*r, None, None, 1.0, "x", 3) for r in rows], schema)
     got = {(r.measure, r.source_name, r.split_name): r.n for r in boxes.percentiles(df, [0.5]).collect()}
-    assert got == {("width", "s", None): 2, ("area", "s", None): 2, ("width", None, "t"): 1, ("area", None, "t"): 1}
+    assert got == {("width", "s", None): 2, ("area", "s", None): 2, ("width", None, "t"): 1, ("area", None, "t"): 1, ("width", "i", "t"): 1}
     assert boxes.percentiles(df.limit(0)).count() == 0
 
 

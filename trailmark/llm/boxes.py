@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import qdigest
@@ -19,24 +19,49 @@ def distinct_boxes(boxes: DataFrame, *columns: str) -> DataFrame:
     return boxes.where(F.col("box_id").isNotNull()).groupBy("box_id").agg(picked.alias("b")).select("b.*")
 
 
+def _measured(boxes: DataFrame) -> DataFrame:
+    return boxes.where(F.col("width").isNotNull() & F.col("height").isNotNull() & ~F.isnan("width") & ~F.isnan("height"))
+
+
 def measures(boxes: DataFrame, *columns: str) -> DataFrame:
     """Width and area as rows (measure, value, columns) of boxes whose width and height are there and not NaN."""
-    both = F.col("width").isNotNull() & F.col("height").isNotNull() & ~F.isnan("width") & ~F.isnan("height")
     pairs = F.array(
         F.struct(F.lit("width").alias("measure"), F.col("width").alias("value")),
         F.struct(F.lit("area").alias("measure"), (F.col("width") * F.col("height")).alias("value")),
     )
-    return boxes.where(both).select(*columns, F.explode(pairs).alias("m")).select("m.measure", "m.value", *columns)
+    return _measured(boxes).select(*columns, F.explode(pairs).alias("m")).select("m.measure", "m.value", *columns)
 
 
 KEYS = ["measure", "source_name", "split_name"]
 
 
 def daily_digests(boxes: DataFrame, k: int = K) -> DataFrame:
-    """Digests per labelling day, source, split and measure: the stored form that later days are added to."""
+    """Digests per labelling day, source, split and measure: the stored form that later days are added to.
+
+    Between tasks go a number for the group, a node and a count; the names come back at the end.
+    """
     columns = ["source_name", "split_name", "labelled_at"]
-    rows = measures(distinct_boxes(boxes, *columns, "width", "height"), *columns).withColumn("day", F.to_date("labelled_at"))
-    return qdigest.build(rows, ["day", *KEYS], "value", k)
+    rows = _measured(distinct_boxes(boxes, *columns, "width", "height"))
+    area = F.col("width") * F.col("height")  # not a number where one is infinite and the other 0: no value then
+    leaves = rows.select(F.to_date("labelled_at").alias("day"), "source_name", "split_name", qdigest.leaf(F.col("width")).alias("w"), F.when(~F.isnan(area), qdigest.leaf(area)).alias("a"))
+    leaves = materialize(leaves, "leaves")
+    group = ["day", "source_name", "split_name"]
+    names, number = _numbered(leaves.select(*group).distinct(), group)
+    each = F.explode(F.array(F.struct(F.lit(False).alias("m"), F.col("w").alias("leaf")), F.struct(F.lit(True).alias("m"), F.col("a").alias("leaf")))).alias("e")
+    nodes = leaves.select(number.alias("__g"), each).where(F.col("e.leaf").isNotNull()).select("__g", F.col("e.m").alias("__m"), (F.col("e.leaf") + F.lit(1 << qdigest.LEVELS)).cast("bigint").alias("node"), F.lit(1).cast("bigint").alias("count"))
+    packed = qdigest.merge(nodes, ["__g", "__m"], k).join(names, "__g")
+    return packed.select("day", F.when(F.col("__m"), "area").otherwise("width").alias("measure"), "source_name", "split_name", "node", "count")
+
+
+def _numbered(groups: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """(groups with ``__g``, the number as an expression): a hash of the columns, taken anew until no two groups share one."""
+    seed = 0
+    while True:
+        number = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+        names = materialize(groups.withColumn("__g", number), "groups")
+        if names.groupBy("__g").count().where("count > 1").isEmpty():
+            return names, number
+        seed += 1
 
 
 def store_days(boxes: DataFrame, folder: str, load: int, k: int = K) -> None:
