@@ -19,8 +19,8 @@ def distinct_boxes(boxes: DataFrame, *columns: str) -> DataFrame:
     return boxes.where(F.col("box_id").isNotNull()).groupBy("box_id").agg(picked.alias("b")).select("b.*")
 
 
-def _measured(boxes: DataFrame) -> DataFrame:
-    return boxes.where(F.col("width").isNotNull() & F.col("height").isNotNull() & ~F.isnan("width") & ~F.isnan("height"))
+def _measured() -> Column:
+    return F.col("width").isNotNull() & F.col("height").isNotNull() & ~F.isnan("width") & ~F.isnan("height")
 
 
 def measures(boxes: DataFrame, *columns: str) -> DataFrame:
@@ -29,7 +29,7 @@ def measures(boxes: DataFrame, *columns: str) -> DataFrame:
         F.struct(F.lit("width").alias("measure"), F.col("width").alias("value")),
         F.struct(F.lit("area").alias("measure"), (F.col("width") * F.col("height")).alias("value")),
     )
-    return _measured(boxes).select(*columns, F.explode(pairs).alias("m")).select("m.measure", "m.value", *columns)
+    return boxes.where(_measured()).select(*columns, F.explode(pairs).alias("m")).select("m.measure", "m.value", *columns)
 
 
 KEYS = ["measure", "source_name", "split_name"]
@@ -40,15 +40,16 @@ def daily_digests(boxes: DataFrame, k: int = K) -> DataFrame:
 
     Between tasks go a number for the group, a node and a count; the names come back at the end.
     """
-    columns = ["source_name", "split_name", "labelled_at"]
-    rows = _measured(distinct_boxes(boxes, *columns, "width", "height"))
-    area = F.col("width") * F.col("height")  # not a number where one is infinite and the other 0: no value then
-    leaves = rows.select(F.to_date("labelled_at").alias("day"), "source_name", "split_name", qdigest.leaf(F.col("width")).alias("w"), F.when(~F.isnan(area), qdigest.leaf(area)).alias("a"))
-    leaves = materialize(leaves, "leaves")
     group = ["day", "source_name", "split_name"]
-    names, number = _numbered(leaves.select(*group).distinct(), group)
-    each = F.explode(F.array(F.struct(F.lit(False).alias("m"), F.col("w").alias("leaf")), F.struct(F.lit(True).alias("m"), F.col("a").alias("leaf")))).alias("e")
-    nodes = leaves.select(number.alias("__g"), each).where(F.col("e.leaf").isNotNull()).select("__g", F.col("e.m").alias("__m"), (F.col("e.leaf") + F.lit(1 << qdigest.LEVELS)).cast("bigint").alias("node"), F.lit(1).cast("bigint").alias("count"))
+    rows = boxes.where(F.col("box_id").isNotNull()).withColumn("day", F.to_date("labelled_at"))
+    names, number = _numbered(rows.select(*group).distinct(), group)
+    width, area = F.col("width"), F.col("width") * F.col("height")
+    # An area is no number where one measure is infinite and the other 0: no value then.
+    own = (F.col("loaded_at"), number.alias("g"), F.when(_measured(), qdigest.leaf(width)).alias("w"), F.when(_measured() & ~F.isnan(area), qdigest.leaf(area)).alias("a"))
+    first = rows.select("box_id", F.struct(*own).alias("b")).groupBy("box_id").agg(F.min("b").alias("b"))
+    each = F.explode(F.array(F.struct(F.lit(False).alias("m"), F.col("b.w").alias("leaf")), F.struct(F.lit(True).alias("m"), F.col("b.a").alias("leaf")))).alias("e")
+    found = first.select(F.col("b.g").alias("__g"), each).where(F.col("e.leaf").isNotNull())
+    nodes = found.select("__g", F.col("e.m").alias("__m"), (F.col("e.leaf") + F.lit(1 << qdigest.LEVELS)).cast("bigint").alias("node"), F.lit(1).cast("bigint").alias("count"))
     packed = qdigest.merge(nodes, ["__g", "__m"], k).join(names, "__g")
     return packed.select("day", F.when(F.col("__m"), "area").otherwise("width").alias("measure"), "source_name", "split_name", "node", "count")
 

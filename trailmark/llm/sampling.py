@@ -17,7 +17,7 @@ from trailmark.functions.hashing import video_key
 from trailmark.llm.rounding import controlled_rounding
 from trailmark.llm.splits import stratum_key
 from trailmark.operators.ranking import exact_rank
-from trailmark.operators.skew import salted_lookup
+from trailmark.operators.skew import HOT_ROWS, salted_lookup
 from trailmark.session import materialize
 
 _BLOCK = 4096
@@ -35,9 +35,9 @@ class Sample:
 
 
 def video_plans(manifest: DataFrame) -> DataFrame:
-    """(video, plan): the largest non-null ``target_bins_for_video`` of a video's rows; null if there is none."""
+    """(video, plan, rows): the largest non-null ``target_bins_for_video`` of a video's rows, null if there is none."""
     rows = manifest.select(video_key(F.col("video_filename")).alias("video"), "target_bins_for_video")
-    return rows.where(F.col("video").isNotNull()).groupBy("video").agg(F.max("target_bins_for_video").cast("bigint").alias("plan"))
+    return rows.where(F.col("video").isNotNull()).groupBy("video").agg(F.max("target_bins_for_video").cast("bigint").alias("plan"), F.count("*").alias("rows"))
 
 
 def planned_bins(plans: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def stratified_sample(manifest: DataFrame, targets: DataFrame, fraction: float =
     columns = [stratum_key(F.col("subdomain_group")).alias("g"), video_key(F.col("video_filename")).alias("video"), F.col("temporal_bin").cast("bigint").alias("bin")]
     rows = manifest.where(F.col("image_id").isNotNull()).select("image_id", *columns)
     rows = rows.groupBy("image_id").agg(F.min(F.struct("g", "video", "bin")).alias("r")).select("image_id", "r.*")
-    rows = salted_lookup(rows, plans, ["video"], F.col("image_id"))
+    rows = salted_lookup(rows, plans.drop("rows"), ["video"], F.col("image_id"), hot=plans.where(F.col("rows") > HOT_ROWS))
     inside = (F.col("bin") >= 0) & (F.col("bin") < F.col("plan"))
     rows = rows.select("image_id", "g", "video", F.when(inside, F.col("bin")).alias("bin"), F.xxhash64("image_id", F.lit(seed)).alias("key"))
     rows = materialize(rows, "images")
