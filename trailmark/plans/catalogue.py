@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.geometry import pixel_corners, roi_within_error
 from trailmark.functions.hashing import hash64, name_key, sha_key, video_key
 from trailmark.operators import evaluation, identity, labels, matching, motion, statistics, temporal, tracking
-from trailmark.plans import adapters, pipelines
+from trailmark.plans import adapters, pipelines, provenance
 from trailmark.plans.pipelines import roi_from_text
 from trailmark.session import read_table, scratch_path, spread
 from trailmark.sources import files
@@ -987,6 +987,111 @@ def quota_sample(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("video", "bin", "offset", "image_id")
 
 
+# Files ----------------------------------------------------------------------------------------------------------------
+
+_FILE_TEXT = "SELECT image_id, string_agg(regexp_replace(replace(coalesce(line, ''), chr(13), ''), '\n', ' ', 'g'), chr(10) ORDER BY line_no, line_id) AS text FROM label_lines WHERE image_id IS NOT NULL GROUP BY image_id"
+
+
+def _label_folder(spark: SparkSession, folder: str) -> str:
+    """The label lines as files of a folder, one per image; line feeds and carriage returns within a line taken out."""
+    place = scratch_path(spark, "label-files")
+    line = F.replace(F.replace(F.coalesce("line", F.lit("")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" "))
+    rows = read_table(spark, folder, "label_lines").where(F.col("image_id").isNotNull()).withColumn("text", line)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text"))), lambda x: x["text"])
+    texts = rows.groupBy("image_id").agg(F.array_join(ordered, "\n").alias("text"))
+    files.write_text_files(texts.select(F.concat(F.col("image_id").cast("string"), F.lit(".txt")).alias("name"), "text"), place, "name", "text").count()
+    return place
+
+
+@query(f"WITH t AS ({_FILE_TEXT}) SELECT image_id::VARCHAR || '.txt' AS name, image_id::VARCHAR AS stem, strlen(text) AS bytes FROM t")
+def label_file_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Label files as the file system lists them after they were written, empty ones included."""
+    return files.list_files(spark, _label_folder(spark, folder), ("txt",)).select("name", "stem", F.col("length").alias("bytes"))
+
+
+@query(
+    f"""WITH t AS ({_FILE_TEXT}), l AS (SELECT image_id::VARCHAR AS stem, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no, unnest(string_split(text, chr(10))) AS line, len(string_split(text, chr(10))) AS n, text FROM t)
+    SELECT stem, line_no, line FROM l WHERE text <> '' AND NOT (line = '' AND line_no = n AND n > 1)"""
+)
+def label_file_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of label files with their numbers, after they were written."""
+    return files.read_line_files(spark, _label_folder(spark, folder)).select("stem", F.col("line_no").cast("int").alias("line_no"), "line")
+
+
+@query(
+    f"""WITH {_ORDER_BOXES} SELECT image AS "frameIndex", round(image / 25, 6) AS seconds, count(pred_id) AS detections, round(coalesce(sum(confidence), 0), 6) AS confidence, coalesce(sum(round_even(px2 - px1, 0)), 0)::BIGINT AS widths
+    FROM (SELECT DISTINCT image FROM ob) LEFT JOIN pr USING (image) GROUP BY image"""
+)
+def detections_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Detections written as lines of JSON, a frame each, and read again; frames without any are kept."""
+    boxes, _, pred = _sides(spark, folder)
+    box = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"))
+    each = F.collect_list(F.struct(F.lit(0).alias("classId"), F.lit("ant").alias("className"), "confidence", box.alias("bbox")))
+    found = pred.groupBy("image").agg(each.alias("detections"))
+    frames = boxes.select("image").distinct().join(found, "image", "left")
+    none = F.array().cast(found.schema["detections"].dataType)
+    place = scratch_path(spark, "detections")
+    files.write_json_lines(frames.select(F.col("image").alias("frameIndex"), (F.col("image") / 25).alias("timestampSeconds"), F.coalesce("detections", none).alias("detections")), place)
+    again = files.read_detections(spark, place)
+    total = lambda of: F.aggregate("detections", F.lit(0.0), lambda acc, d: acc + of(d))
+    return again.select(
+        "frameIndex", F.round("timestampSeconds", 6).alias("seconds"), F.size("detections").cast("bigint").alias("detections"), F.round(total(lambda d: d.confidence), 6).alias("confidence"),
+        total(lambda d: F.rint(d.bbox.width)).cast("bigint").alias("widths"),
+    )
+
+
+@query(
+    f"""WITH {_IMAGES} SELECT image_id, len(string_split(subdomain_group, ' ')) AS pieces, upper(split_name) AS split_upper, temporal_bin IS NOT NULL AS has_bin, image_width AS w, image_height AS h FROM images"""
+)
+def manifest_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """A manifest as CSV with a list, a flag and a nested cell, written and read again."""
+    rows = adapters.distinct_images(spark, folder)
+    size = F.to_json(F.struct(F.col("image_width").alias("w"), F.col("image_height").alias("h")))
+    pieces = F.array_join(F.split("subdomain_group", " "), ";")
+    cells = rows.select("image_id", pieces.alias("pieces"), F.col("split_name").alias("split"), F.initcap(F.col("temporal_bin").isNotNull().cast("string")).alias("has_bin"), size.alias("size"))
+    place = scratch_path(spark, "manifest")
+    cells.write.csv(place, header=True, quote='"', escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    again = files.read_manifest(spark, place, lists=("pieces",), flags=("has_bin",), nested={"size": "struct<w: int, h: int>"})
+    return again.select(F.col("image_id").cast("bigint").alias("image_id"), F.size("pieces").cast("bigint").alias("pieces"), F.upper("split").alias("split_upper"), "has_bin", F.col("size.w").alias("w"), F.col("size.h").alias("h"))
+
+
+@query(
+    f"""WITH {_IMAGES} SELECT image_id::VARCHAR AS stem, CASE WHEN image_id % 20 <> 3 THEN image_width END AS image_w, CASE WHEN image_id % 20 <> 3 THEN image_height END AS image_h FROM images"""
+)
+def image_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes from the headers of image files that were written before; every twentieth can't be read."""
+    place = scratch_path(spark, "image-files")
+    number = lambda c: F.lpad(F.hex(F.col(c)), 8, "0")
+    start = F.when(F.col("image_id") % 20 != 3, F.lit("89504E470D0A1A0A0000000D49484452")).otherwise(F.lit("00" * 16))
+    content = F.unhex(F.concat(start, number("image_width"), number("image_height"), F.lit("0800000000")))
+    rows = adapters.distinct_images(spark, folder).select(F.concat(F.col("image_id").cast("string"), F.lit(".PNG")).alias("name"), content.alias("content"))
+    files.write_text_files(rows, place, "name", "content").count()
+    listed = files.list_images(spark, place)
+    return listed.join(files.image_sizes(listed), "file").select("stem", "image_w", "image_h")
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'e' || s_nationkey ELSE 'CUSTOM / UNREGISTERED' END AS experiment, s_suppkey % 3 = 2 AND s_suppkey % 5 <> 0 AS canonical,
+    CASE WHEN s_suppkey % 3 <> 2 THEN 0.5 + (s_suppkey % 3) / 10 END AS iou, s_suppkey % 5 = 0 AS other_size, s_acctbal AS result FROM supplier"""
+)
+def run_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of runs, read back: the registered model, whether parameters were canonical, and what differed."""
+    rows = read_table(spark, folder, "supplier")
+    k = F.col("s_suppkey")
+    runs = rows.select(
+        "s_suppkey", F.lit("v").alias("source_path"), F.lit("0").alias("source_sha256"), F.lit("m").alias("model_path"), F.upper(F.sha2(F.col("s_name"), 256)).alias("model_sha256"),
+        F.create_map(F.lit("0"), F.lit("ant")).alias("classes"), F.struct("s_acctbal").alias("result"), F.lit("2026-01-01").cast("timestamp").alias("created_at"),
+        F.lit(0.25).alias("confidence"), F.round(F.lit(0.5) + (k % 3) / 10, 6).alias("iou"), F.when(k % 5 == 0, 960).otherwise(640).alias("imageSize"), F.lit(False).alias("end2end"),
+    )
+    registry = rows.where(k % 2 == 0).select(F.sha2(F.col("s_name"), 256).alias("sha256"), F.concat(F.lit("e"), "s_nationkey").alias("experiment"), F.lit("s").alias("status"))
+    canonical = spark.createDataFrame([(0.25, 0.7, 640, False)], "confidence double, iou double, imageSize int, end2end boolean")
+    read = lambda path: F.get_json_object("document", path)
+    return provenance.run_documents(runs, registry, canonical).select(
+        "s_suppkey", read("$.model.experiment").alias("experiment"), (read("$.inference.canonicalInference") == "true").alias("canonical"), read("$.inference.overrides.iou.actual").cast("double").alias("iou"),
+        read("$.inference.overrides.imageSize").isNotNull().alias("other_size"), read("$.result.s_acctbal").cast("double").alias("result"),
+    )
+
+
 # Streams --------------------------------------------------------------------------------------------------------------
 
 

@@ -243,7 +243,8 @@ def label_texts(images: DataFrame, boxes: DataFrame, key: str, line: str, order:
 
 
 def write_text_files(texts: DataFrame, folder: str, name: str, text: str) -> DataFrame:
-    """Write a small file per row, named by ``name``, into a folder that all workers reach; an empty text is an empty file.
+    """Write a small file per row, named by ``name``, into a folder that all workers reach; an empty text is an empty file
+    and binary content is written as it is.
 
     Gives (file, bytes) per file when it is evaluated. A file is written whole before it gets its name, so a task that
     runs again leaves the same files.
@@ -257,7 +258,7 @@ def write_text_files(texts: DataFrame, folder: str, name: str, text: str) -> Dat
         for batch in batches:
             sizes = []
             for n, t in zip(batch["name"], batch["text"]):
-                data, part = (t or "").encode(), f"{root}/.{uuid.uuid4().hex}.part"
+                data, part = t if isinstance(t, (bytes, bytearray)) else (t or "").encode(), f"{root}/.{uuid.uuid4().hex}.part"
                 with system.open_output_stream(part) as out:
                     out.write(data)
                 system.move(part, f"{root}/{n}")
