@@ -47,19 +47,19 @@ def test_missing_and_orphan_and_bad(spark, dataset):
 
 
 def test_export(spark, tmp_path):
-    rows = {"train": [(0, "0000-000"), (7, "0000-234"), (14, "0000-467")], "valid": [(21, "0000-701"), (28, "0000-934")], "test": [(35, "0001-168")]}
+    rows = {"train": [(0, "0000-000"), (10, "0000-400"), (20, "0000-800")], "valid": [(30, "0001-200"), (40, "0001-600")], "test": [(50, "0002-000")]}
     for split, frames in rows.items():
         (tmp_path / split / "images").mkdir(parents=True)
         (tmp_path / split / "labels").mkdir(parents=True)
         for frame, ts in frames:
-            stem = f"ant2_frame_{frame:06d}_t{ts}_jpg.rf.hash{frame:06d}"
+            stem = f"nest_frame_{frame:06d}_t{ts}_jpg.rf.x{frame:06d}"
             (tmp_path / split / "images" / f"{stem}.png").write_bytes(png())
-            (tmp_path / split / "labels" / f"{stem}.txt").write_text("0 0.500000 0.500000 0.250000 0.250000\n")
+            (tmp_path / split / "labels" / f"{stem}.txt").write_text("0 0.50 0.50 0.250 0.250\n")
     seen = pipelines.inspect_export(spark, str(tmp_path), {0: "Ant"})
     assert seen.ok and seen.counts["images"] == {"train": 3, "valid": 2, "test": 1} and seen.counts["detections"] == 6 and seen.counts["class_ids"] == [0]
     got = pipelines.prepare_export(spark, str(tmp_path), 0.67, 1, classes={0: "Ant"})
     parts = got.counts["parts"]
-    assert (parts["train"]["rows"], parts["train"]["last_frame"], parts["gap"]["rows"], parts["val"]["rows"], parts["val"]["first_frame"]) == (3, 14, 1, 1, 28)
+    assert (parts["train"]["rows"], parts["train"]["last_frame"], parts["gap"]["rows"], parts["val"]["rows"], parts["val"]["first_frame"]) == (3, 20, 1, 1, 40)
     texts = got.tables["labels"].collect()
     assert len(texts) == 4 and {r.text for r in texts} == {"0 0.5 0.5 0.25 0.25"}
     out = tmp_path.parent / f"{tmp_path.name}-out"
@@ -236,3 +236,22 @@ def test_discovery_outputs_and_hashes(spark, tmp_path):
     sha = provenance.file_sha256(out / "keep.txt")
     manifest = spark.createDataFrame([("keep.txt", sha.upper()), ("gone.txt", "00")], "name string, sha256 string")
     assert {r.name: r.matches for r in files.verify_manifest(manifest, hashes).collect()} == {"keep.txt": True, "gone.txt": False}
+
+
+def test_commands(spark, dataset, tmp_path, capsys):
+    from trailmark.__main__ import main
+
+    assert main(["validate", str(dataset / "dataset.yaml")], spark) == 0 and main(["stats", str(dataset / "dataset.yaml")], spark) == 0
+    assert json.loads(capsys.readouterr().out.split("\n}\n{")[0] + "\n}")["errors"] == 0
+    (dataset / "labels/train/one.txt").write_text("7 .5 .5 .1 .1\n")
+    assert main(["validate", str(dataset / "dataset.yaml")], spark) == 1 and main(["stats", str(dataset / "dataset.yaml")], spark) == 1
+    assert "class id must be 0" in capsys.readouterr().err
+    assert main(["validate", str(tmp_path / "none.yaml")], spark) == 1
+    video = tmp_path / "v.y4m"
+    video.write_bytes(b"YUV4MPEG2 W8 H6 F10:1 Cmono\n" + b"".join(b"FRAME\n" + bytes([i]) * 48 for i in range(20)))
+    assert main(["analyze", str(video), "--output", str(tmp_path / "a"), "--warmup", "5"], spark) == 0
+    assert json.loads((tmp_path / "a/metrics.json").read_text())["warmup_frames"] == 5
+    assert main(["extract-frames", str(video), "--output", str(tmp_path / "e"), "--every", "7"], spark) == 0
+    assert len(list((tmp_path / "e").glob("*.png"))) == 3
+    assert main(["extract-frames", str(video), "--output", str(tmp_path / "e"), "--every", "7"], spark) == 1
+    assert main(["analyze", str(video), "--output", str(tmp_path / "a"), "--roi", "0,0,9,9"], spark) == 1

@@ -54,7 +54,7 @@ def test_positions(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("ant2_frame_000007_t0000-234_jpg.rf.hash.jpg",), ("x.jpg",), ("a_frame_000012_t0001.500.jpg",)], "n string")
+    df = spark.createDataFrame([("nest_frame_000007_t0000-234_jpg.rf.x.jpg",), ("x.jpg",), ("a_frame_000012_t0001.500.jpg",)], "n string")
     rows = df.select(temporal.name_frame(F.col("n")).alias("f"), temporal.name_timestamp(F.col("n")).alias("t")).collect()
     assert [(r.f, r.t) for r in rows] == [(7, 0.234), (None, None), (12, 1.5)]
     made = spark.range(1).select(temporal.frame_name(F.lit("source"), F.lit(0), F.lit(0.0)).alias("a"), temporal.sequence_name(F.lit(3)).alias("b")).first()

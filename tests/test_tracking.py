@@ -5,15 +5,15 @@ from trailmark.operators import tracking
 
 def test_lines(spark):
     cases = [
-        ("1,11,740.603,48.563,94,94,1", None),
-        ("1,11,740.603,48.563,94,94", "exactly 7"),
-        ("1,11,nope,48.563,94,94,1", "x must be numeric"),
-        ("0,11,740.603,48.563,94,94,1", "frame must be greater than or equal to 1"),
-        ("1,11,1,1,0,94,1", "width must be greater than 0"),
-        ("1,11,1,1,94,0,1", "height must be greater than 0"),
-        ("1.5,11,1,1,94,94,1", "frame must be an integer"),
-        ("1.0,11,1,1,94,94,1", None),
-        ("1,inf,1,1,94,94,1", "track_id must be finite"),
+        ("4,2,31.5,7.25,12,9,1", None),
+        ("4,2,31.5,7.25,12,9", "exactly 7"),
+        ("4,2,left,7.25,12,9,1", "x must be numeric"),
+        ("0,2,31.5,7.25,12,9,1", "frame must be greater than or equal to 1"),
+        ("4,2,1,1,0,9,1", "width must be greater than 0"),
+        ("4,2,1,1,12,0,1", "height must be greater than 0"),
+        ("4.5,2,1,1,12,9,1", "frame must be an integer"),
+        ("4.0,2,1,1,12,9,1", None),
+        ("4,inf,1,1,12,9,1", "track_id must be finite"),
     ]
     df = spark.createDataFrame(list(enumerate([c[0] for c in cases] + ["", None])), "i int, line string")
     got = {r.i: r for r in tracking.parse_ground_truth(df).collect()}

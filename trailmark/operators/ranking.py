@@ -7,6 +7,8 @@ those before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +53,15 @@ def null_safe_join(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataF
     return rows.join(renamed, same).drop(*[f"__r{i}" for i in range(len(keys))])
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], also: dict[str, tuple[str, Callable[[Column], Column]]] | None = None) -> DataFrame:
     """(keys, a column per name of ``wanted``: the percentile of a column, linear between neighbouring ranks).
 
     Values are ranked over range partitions, so that a group of any size spans many tasks; only the two rows
-    beside each percentile are aggregated. Nulls don't count; a group without values has a null.
+    beside each percentile are aggregated. ``also`` names aggregates of columns that come out of the same pass. Nulls
+    don't count; a group without values has no row.
     """
-    columns = sorted({c for c, _ in wanted.values()})
+    also = also or {}
+    columns = sorted({c for c, _ in [*wanted.values(), *also.values()]})
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("__m"), F.col(c).cast("double").alias("__value")) for c in columns]))
     values = df.select(*keys, each.alias("__e")).select(*keys, "__e.*").where(F.col("__value").isNotNull())
     rows = exact_rank(values, [*keys, "__m"], ["__value"], "__i", "__n")
@@ -66,7 +70,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     some = F.lit(False)
     for p in {p for _, p in wanted.values()}:
         some = some | near(p)
-    kept = rows.where(some)
+    kept = rows if also else rows.where(some)
 
     def value(column: str, p: float) -> Column:
         own = (F.col("__m") == column) & near(p)
@@ -74,7 +78,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
         part = F.max(F.when(own, place(p) - F.floor(place(p))))
         return low * (1 - part) + high * part
 
-    return kept.groupBy(*keys).agg(*[value(c, p).alias(name) for name, (c, p) in wanted.items()])
+    more = [of(F.when(F.col("__m") == c, F.col("__value"))).alias(name) for name, (c, of) in also.items()]
+    return kept.groupBy(*keys).agg(*[value(c, p).alias(name) for name, (c, p) in wanted.items()], *more)
 
 
 def exact_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rank", total: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators.ranking import exact_percentiles, null_safe_join
+from trailmark.operators.ranking import exact_percentiles
 
 
 def split_statistics(images: DataFrame, boxes: DataFrame, split: str, image: str) -> DataFrame:
@@ -33,10 +33,10 @@ def size_percentiles(boxes: DataFrame, keys: list[str], width: str = "width", he
 
 
 def scale_summary(boxes: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count, extremes, mean and percentiles of one measure."""
+    """Count, extremes, mean and percentiles of one measure, in one pass; a group without values has no row."""
     ranks = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    plain = boxes.groupBy(*keys).agg(F.count(value).alias("boxes"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
-    return null_safe_join(plain, exact_percentiles(boxes.select(*keys, value), keys, {n: (value, p) for n, p in ranks.items()}), keys)
+    plain = {"boxes": F.count, "least": F.min, "most": F.max, "mean": F.avg}
+    return exact_percentiles(boxes.select(*keys, value), keys, {n: (value, p) for n, p in ranks.items()}, {n: (value, of) for n, of in plain.items()})
 
 
 def class_audit(boxes: DataFrame, class_id: str = "class_id", image: str = "image_id") -> DataFrame:
