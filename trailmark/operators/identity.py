@@ -103,9 +103,9 @@ def set_hash(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     then the buckets' hashes in order. So no task holds more than a small part of a key's values.
     """
     text = F.col(value).cast("string")
-    placed = rows.where(F.col(value).isNotNull()).select(*keys, text.alias("__v"), F.substring(F.sha2(text, 256), 1, 3).alias("__b")).distinct()
-    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
-    buckets = placed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"), joined("__v").alias("__h"))
+    placed = rows.where(F.col(value).isNotNull()).select(*keys, text.alias("__v"), F.substring(F.sha2(text, 256), 1, 3).alias("__b"))
+    buckets = placed.groupBy(*keys, "__b").agg(F.sort_array(F.collect_set("__v")).alias("__s"))
+    buckets = buckets.select(*keys, "__b", F.size("__s").cast("bigint").alias("__n"), F.sha2(F.array_join("__s", "\n"), 256).alias("__h"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("__b", "__h"))), lambda s: s["__h"])
     return buckets.groupBy(*keys).agg(F.sum("__n").alias("files"), F.sha2(F.array_join(ordered, "\n"), 256).alias("content_hash"))
 
